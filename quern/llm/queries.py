@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import encoding, handwritten, leakage, neighbours, splitting, term_counts, top_items
+from quern.llm import encoding, handwritten, leakage, neighbours, personal, splitting, term_counts, top_items
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,15 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p4_found, p4_neighbours, p5_found, p5_evidence, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.distinct_items(table(spark, d, "documents")).select("doc_id", "kind", "found")
+
+
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.masked(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p4_found, p4_neighbours, p5_found, p5_evidence, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_masked)}
 
 _SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WORDS = _SPACES.replace("[", "[^", 1) + "+"
