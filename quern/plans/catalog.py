@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import snapshots
-from quern.plans import text
+from quern.plans import code, retrieval, text
 from quern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "snippets"), table(spark, d, "versions"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found} | text.QUERIES
+QUERIES: dict[str, Query] = {"p3_found": p3_found} | text.QUERIES | retrieval.QUERIES | code.QUERIES
 
 ORACLES: dict[str, str] = {
     "p3_found": """
@@ -28,4 +28,4 @@ ORACLES: dict[str, str] = {
                    CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' END AS change
             FROM c a FULL JOIN c b ON a.id = b.id AND b.o = a.o + 1)
       SELECT version, id, change FROM e JOIN v USING (o) WHERE change IS NOT NULL AND o > 1""",
-} | text.ORACLES
+} | text.ORACLES | retrieval.ORACLES | code.ORACLES
