@@ -19,7 +19,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _score(ids: list, q: np.ndarray, k: int, floor: float | None, digits: int, id_type: pa.DataType, query_type: pa.DataType, skip_self: bool, exclude: dict):
+def _score(ids: list, q: np.ndarray, k: int, floor: float | None, digits: int, id_type: pa.DataType, query_type: pa.DataType, skip_self: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -58,7 +58,7 @@ def scored(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = 0.
     out, ids, block = None, [], []
 
     def against() -> DataFrame:
-        run = _score(list(ids), np.array(block, np.float64), k, floor, digits, types[0], types[1], skip_self, {})
+        run = _score(list(ids), np.array(block, np.float64), k, floor, digits, types[0], types[1], skip_self)
         part = docs.select("id", "vector", "bias").mapInArrow(run, f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double")
         return part if out is None else out.unionByName(part)
 
@@ -99,14 +99,51 @@ def multi_view_topk(queries: DataFrame, docs: DataFrame, weights: dict[str, floa
     return ranked(best, k)
 
 
-def optimistic_ranks(scores: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, id, best_rank): 1 + the number of documents with a strictly greater score than the known answer."""
-    own = scores.join(answers, ["query_id", "id"]).groupBy("query_id").agg(F.max("score").alias("own"), F.max_by("id", "score").alias("answer"))
-    return (
-        scores.join(own, "query_id").groupBy("query_id", "answer")
-        .agg((F.count_if(F.col("score") > F.col("own")) + 1).alias("best_rank"))
-        .select("query_id", F.col("answer").alias("id"), "best_rank")
-    )
+def optimistic_ranks(queries: DataFrame, docs: DataFrame, answers: DataFrame, digits: int = 6) -> DataFrame:
+    """(query_id, id, best_rank): 1 + the number of other documents with a strictly greater score than the known answer (query_id, id).
+
+    Documents are counted where they are read; only counts leave the tasks.
+    """
+    from quern.functions.vectors import dot
+
+    own = answers.join(docs.select("id", F.col("vector").alias("v")), "id").join(queries, "query_id").select("query_id", "id", "vector", F.round(dot(F.col("v"), F.col("vector")), digits).alias("own"))
+    kind = queries.schema["query_id"].dataType
+    arrow = pa.int64() if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string()
+
+    def counting(ids: list, q: np.ndarray, bar: np.ndarray):
+        place = {v: i for i, v in enumerate(ids)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            better = np.zeros(len(ids), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    s = np.round(_matrix(b.column("vector")) @ q.T, digits)
+                    for r, key in enumerate(b.column("id").to_pylist()):
+                        if key in place:
+                            s[r, place[key]] = -np.inf
+                    better += (s > bar[None, :]).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(better)], ["query_id", "better"])
+
+        return run
+
+    out, ids, block, bar = None, [], [], []
+
+    def against() -> DataFrame:
+        part = docs.select("id", "vector").mapInArrow(counting(list(ids), np.array(block, np.float64), np.array(bar)), f"query_id {kind.simpleString()}, better bigint")
+        return part if out is None else out.unionByName(part)
+
+    for row in own.orderBy("query_id").toLocalIterator():
+        ids.append(row["query_id"])
+        block.append(row["vector"])
+        bar.append(row["own"])
+        if len(ids) == BLOCK_QUERIES:
+            out, ids, block, bar = against(), [], [], []
+    if ids:
+        out = against()
+    if out is None:
+        return answers.select("query_id", "id", F.lit(1).cast("bigint").alias("best_rank")).where("false")
+    counts = out.groupBy("query_id").agg((F.sum("better") + 1).alias("best_rank"))
+    return answers.select("query_id", "id").join(counts, "query_id")
 
 
 def adaptive(first: DataFrame, second: DataFrame, low: float = 0.01, k: int = 10) -> DataFrame:

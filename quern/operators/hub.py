@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.dense import dense_topk, ranked, scored
+from quern.operators.positions import numbered
 
 
 def hub_scores(docs: DataFrame, refs: DataFrame, k: int, exclude: DataFrame | None = None, parity: bool = False) -> DataFrame:
@@ -55,13 +55,13 @@ def extended_documents(docs: DataFrame, hubs: DataFrame, beta: float) -> DataFra
 def separation_auc(rows: DataFrame, empty: float = 0.5) -> DataFrame:
     """(auc): how well score parts the group (a boolean) from the rest; ties count half.
 
-    Average ranks come from counts of equal scores, so equal scores are never gathered.
+    By average ranks; rows are numbered by range partitions, equal scores are never gathered.
     """
-    counts = rows.groupBy("score").agg(F.count_if(F.col("group")).alias("p"), F.count_if(~F.col("group")).alias("q"))
-    w = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    below = counts.withColumn("q_below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    total = below.agg(F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    return total.select(F.coalesce(F.round(F.try_divide(F.col("u"), F.col("np") * F.col("nq")), 6), F.lit(empty)).alias("auc"))
+    placed = numbered(rows.select("score", "group"), [F.col("score")])
+    ties = placed.groupBy("score").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("k"), F.count_if("group").alias("p"))
+    s = ties.agg(F.sum(F.col("p") * (F.col("first") + (F.col("k") + 1) / 2)).alias("ranks"), F.sum("p").alias("np"), F.sum(F.col("k") - F.col("p")).alias("nq"))
+    u = F.col("ranks") - F.col("np") * (F.col("np") + 1) / 2
+    return s.select(F.coalesce(F.round(F.try_divide(u, F.col("np") * F.col("nq")), 6), F.lit(empty)).alias("auc"))
 
 
 def hub_share(wrong: DataFrame, least: int = 5) -> DataFrame:
@@ -93,10 +93,8 @@ def centroid_similarity(docs: DataFrame) -> DataFrame:
 
 def zscores(rows: DataFrame, value: str) -> DataFrame:
     """rows with z: population z-score of a column; 0 where it does not vary."""
-    w = W.partitionBy()
     stats = rows.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
     m, s = stats.select("m").scalar(), stats.select("s").scalar()
-    del w
     return rows.withColumn("m", m).withColumn("s", s).withColumn("z", F.when(F.col("s") > 0, F.round((F.col(value) - F.col("m")) / F.col("s"), 6)).otherwise(0.0)).drop("m", "s")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.positions import numbered
+
 
 def gain(rel: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), rel) - 1) / F.log2(rank + 1)
@@ -44,9 +46,7 @@ def means(scores: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """(by..., n, p...): percentiles by nearest rank, the index rounded half to even; only the wanted ranks leave the sort."""
     by = by or []
-    w = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last(), F.lit(0))
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
-    placed = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w) - 1).alias("at"), n.alias("n"))
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [F.col(value)], by)
     picks = [F.max(F.when(F.col("at") == F.bround(F.lit(s) * (F.col("n") - 1)).cast("int"), F.col(value))).alias(f"p{int(round(s * 100))}") for s in shares]
     return placed.groupBy(*by, "n").agg(*picks) if by else placed.groupBy("n").agg(*picks)
 
@@ -62,10 +62,8 @@ def rank_bucket(rank: Column) -> Column:
 
 def terciles(rows: DataFrame, order: list, value: str) -> DataFrame:
     """(tercile, n, mean): thirds by position, the remainder in the last one."""
-    w = W.orderBy(*order)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    size = F.greatest(F.floor(n / 3), F.lit(1))
-    placed = rows.select(value, F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(2)).alias("tercile"))
+    size = F.greatest(F.floor(F.col("n") / 3), F.lit(1))
+    placed = numbered(rows, order).select(value, F.least(F.floor(F.col("at") / size), F.lit(2)).alias("tercile"))
     return placed.groupBy("tercile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"))
 
 
@@ -79,9 +77,8 @@ def bands(rows: DataFrame, value: str, edges: list[float], measure: str) -> Data
 
 def deciles(rows: DataFrame, value: str, hit: str) -> DataFrame:
     """(decile, n, hit_rate) of rows by falling value; each has n // 10 rows, the remainder is left out."""
-    w = W.orderBy(F.col(value).desc(), "query_id")
-    size = F.greatest(F.floor(F.count(F.lit(1)).over(W.partitionBy()) / 10), F.lit(1))
-    placed = rows.select(hit, F.floor((F.row_number().over(w) - 1) / size).alias("decile")).where("decile < 10")
+    size = F.greatest(F.floor(F.col("n") / 10), F.lit(1))
+    placed = numbered(rows, [F.col(value).desc(), F.col("query_id")]).select(hit, F.floor(F.col("at") / size).alias("decile")).where("decile < 10")
     return placed.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(hit).cast("double")), 6).alias("hit_rate"))
 
 

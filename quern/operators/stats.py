@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.positions import numbered
+
 
 def resampled_means(scores: DataFrame, draws: int = 200, seed: int = 0, by: str = "system") -> DataFrame:
     """(system, draw, mean): means of ``draws`` resamples of score by system, each over as many draws as there are queries.
@@ -16,8 +18,7 @@ def resampled_means(scores: DataFrame, draws: int = 200, seed: int = 0, by: str
     Scalable form: which row is drawn comes from a hash of seed, draw and
     position, so the drawn rows are found by a join and no group is gathered.
     """
-    w = W.partitionBy(by).orderBy("query_id")
-    placed = scores.select(by, "score", (F.row_number().over(w) - 1).alias("at"), F.count(F.lit(1)).over(W.partitionBy(by)).alias("n"))
+    placed = numbered(scores.select(by, "query_id", "score"), [F.col("query_id")], [by])
     picks = (
         placed.select(by, "n", "at", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
         .select(by, "draw", "n", hashed_place(F.col("draw"), F.col("at"), F.col("n"), seed).alias("at"))
@@ -103,13 +104,12 @@ def kendall_tau(ranks: DataFrame) -> DataFrame:
 
 def stratified_sample(queries: DataFrame, size: int, strata: int = 10, seed: int = 0) -> DataFrame:
     """(query_id, stratum): a sample over strata of text length, chosen by hash; sizes by share, the last stratum takes the remainder."""
-    order = W.orderBy(F.length("text"), "query_id")
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    per = F.greatest(F.floor(n / strata), F.lit(1))
-    placed = queries.select("query_id", n.alias("n"), F.least(F.floor((F.row_number().over(order) - 1) / per), F.lit(strata - 1)).alias("stratum"))
-    lots = W.partitionBy("stratum").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"))), "query_id")
-    block = F.count(F.lit(1)).over(W.partitionBy("stratum"))
-    picked = placed.select("query_id", "stratum", F.row_number().over(lots).alias("lot"), F.bround(F.lit(float(size)) * block / F.col("n")).alias("take"))
+    per = F.greatest(F.floor(F.col("n") / strata), F.lit(1))
+    sized = numbered(queries.select("query_id", F.length("text").alias("size")), [F.col("size"), F.col("query_id")])
+    placed = sized.select("query_id", F.col("n").alias("whole"), F.least(F.floor(F.col("at") / per), F.lit(strata - 1)).alias("stratum"))
+    lot = placed.withColumn("lot", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"))))
+    drawn = numbered(lot, [F.col("lot"), F.col("query_id")], ["stratum"])
+    picked = drawn.select("query_id", "stratum", (F.col("at") + 1).alias("lot"), F.bround(F.lit(float(size)) * F.col("n") / F.col("whole")).alias("take"))
     return picked.where(F.col("lot") <= F.col("take")).select("query_id", "stratum")
 
 
@@ -145,7 +145,7 @@ def pseudo_queries(snippets: DataFrame, least_words: int = 5) -> DataFrame:
     comment = F.regexp_extract("content", r"^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)", 1)
     found = snippets.select("id", F.trim(comment).alias("text"), F.lower(F.array_join(words(F.trim(comment)), " ")).alias("norm"))
     found = found.where(F.size(F.split("norm", " ")) >= least_words)
-    alone = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("norm"))).where("n = 1")
+    alone = found.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("text").alias("text")).where("n = 1")
     grams = alone.select(F.col("id").alias("query_id"), "norm", F.array_join(F.slice(F.split("norm", " "), 1, least_words), " ").alias("gram"))
 
     body = F.lower(F.array_join(words(F.regexp_replace("content", r"(?m)^\s*(?:/\*\*?|//|#|\*)", "")), " "))

@@ -157,11 +157,8 @@ def adaptive_second_pass(spark, d):
 
 
 def optimistic_rank(spark, d):
-    q = _queries(spark, d)
-    n = _docs(spark, d).count()
-    scores = dense.scored(q, _docs(spark, d).withColumn("bias", F.lit(0.0)), n, None, skip_self=True)
     first = _qrels(spark, d).groupBy("query_id").agg(F.min("id").alias("id"))
-    return dense.optimistic_ranks(scores, first)
+    return dense.optimistic_ranks(_queries(spark, d), _docs(spark, d), first)
 
 
 def _texts(spark, d):
@@ -208,12 +205,10 @@ def rankings_csv(spark, d):
 
 def prediction_ranks(spark, d):
     """Rankings of stored predictions, ties from the end of the alphabet."""
-    from quern.sources.records import predictions_to_ranks
+    from quern.sources.records import prediction_ranks as ranks
 
     rows = table(spark, d, "search_results").select("query_id", F.explode("hits").alias("h")).where("h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score)")
-    best = rows.groupBy("query_id", F.col("h.id").alias("id")).agg(F.max("h.score").alias("score"))
-    maps = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "score"))).alias("scores"))
-    return predictions_to_ranks(maps, 10)
+    return ranks(rows.groupBy("query_id", F.col("h.id").alias("id")).agg(F.max("h.score").alias("score")), 10)
 
 
 def file_ranks(spark, d):

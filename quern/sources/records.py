@@ -112,7 +112,11 @@ def write_described(run: DataFrame, described: DataFrame, path: str) -> None:
 
 def predictions_to_ranks(predictions: DataFrame, k: int = 100) -> DataFrame:
     """(query_id, id, score, rank_no) of predictions (query_id, scores map); ties by id from the end of the alphabet."""
-    rows = predictions.select("query_id", F.explode("scores").alias("id", "score"))
+    return prediction_ranks(predictions.select("query_id", F.explode("scores").alias("id", "score")), k)
+
+
+def prediction_ranks(rows: DataFrame, k: int = 100) -> DataFrame:
+    """The same of predictions that stand one to a row."""
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").desc())
     return rows.withColumn("rank_no", F.row_number().over(w).cast("bigint")).where(F.col("rank_no") <= k)
 
