@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quern.functions import queries as Q
 
@@ -97,7 +98,7 @@ def neighbours(vocab: DataFrame, name: str) -> DataFrame:
     return vocab.where((Q.normal_form(F.lit(name)) == F.col("norm")) & (F.col("name") != name)).select("name").distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.operators.snapshots import canonical_hash, version_order
 
@@ -49,7 +50,7 @@ def history_labels(hist: DataFrame) -> DataFrame:
     return hist.groupBy("lineage").agg(F.array_join(joined, " ").alias("label"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _diff(before: pd.Series, after: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y, p, q in zip(before, after, a, b, strict=True):
