@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every query of this engine assumes (UTC, AQE, Arrow)."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # one thread for each Python worker: tasks are what runs side by side
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -44,3 +45,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit repartitioning: what the session says for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The same rows over enough tasks for work that is heavy per row.
+
+    Input of many splits is left as it is. Of few splits (a small file, or a shuffle
+    that was coalesced by size) the rows are dealt out by a hash of the key.
+    """
+    spark = df.sparkSession
+    wanted = max(parallelism(spark), 3 * spark.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= wanted // 3 else df.repartition(wanted, key)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row, after a shuffle that would be coalesced by size."""
+    return max(parallelism(spark), 3 * spark.sparkContext.defaultParallelism)
