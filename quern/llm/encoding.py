@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-splitting pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,4 +102,4 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     """(doc_id, ids): the token ids of every row's text."""
     path = vocabulary or os.environ.get("QUERN_VOCABULARY", VOCABULARY)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(_encode(path, key, text), f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text), key).mapInArrow(_encode(path, key, text), f"`{key}` {kind}, ids array<int>")

@@ -8,8 +8,8 @@ tags. The spans are then checked exactly: the item a span stands for must have t
 kind, and its ends are those of the shape; names are cut at word ends, their
 titles are left out.
 
-Windows are formed and tagged within a batch of rows; nothing is shuffled, and a
-text of any length is read whole, in as many windows as it needs.
+Windows are formed and tagged within a batch of rows; rows are only moved where the
+input has fewer splits than there are tasks, and a text of any length is read whole, in as many windows as it needs.
 
 Defined cases
   * null, empty and blank texts have no items; their text is returned as it is.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm import shapes
 from quern.llm.shapes import KINDS
 from quern.llm.tagger import Tagger, encode
+from quern.session import spread
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "tagger_weights.npz")
 WINDOW, EDGE = 240, 48
@@ -187,7 +188,7 @@ def _items(path: str, key: str, text: str) -> Callable[[Iterator[pd.DataFrame]],
 def items(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: str = WEIGHTS) -> DataFrame:
     """(doc_id, kind, found, start, end): every item with its place in the text."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(_items(weights, key, text), f"doc_id {kind}, kind string, found string, start int, end int")
+    return spread(docs.select(key, text), key).mapInPandas(_items(weights, key, text), f"doc_id {kind}, kind string, found string, start int, end int")
 
 
 def distinct_items(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,4 +211,4 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: st
             yield pd.DataFrame({"doc_id": f[key], "text": [c if isinstance(t, str) else None for c, t in zip(clean, texts, strict=True)]})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"doc_id {kind}, text string")
+    return spread(docs.select(key, text), key).mapInPandas(run, f"doc_id {kind}, text string")

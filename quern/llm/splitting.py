@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import tasks
+
 #: White space by the Unicode property, as a character class both regex dialects read alike.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(rf"[^{SPACE}]+")
@@ -136,7 +138,7 @@ def pieces(snippets: DataFrame, configs: DataFrame) -> DataFrame:
         .withColumn("configs", F.filter("configs", lambda c: c["budget_tokens"] < F.col("n_words")))
         .where(F.size("configs") > 0)
     )
-    cut = texts.select("digest", "content", "configs").mapInPandas(
+    cut = texts.select("digest", "content", "configs").repartition(tasks(snippets.sparkSession), "digest").mapInPandas(
         _cut, "digest string, config_name string, piece_no int, first_word int, end_word int, piece string"
     )
     return current.select("id", "version", "digest").join(cut, "digest").select("config_name", "id", "version", "piece_no", "first_word", "end_word", "piece")
