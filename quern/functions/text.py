@@ -45,10 +45,16 @@ def tokens(text: Column, split: bool = True) -> Column:
     if not split:
         return F.transform(words, F.lower)
 
+    def more(t: Column) -> Column:
+        def of(parts: Column) -> Column:
+            several = (F.size(parts) > 1) | ((F.size(parts) == 1) & (F.element_at(parts, 1) != F.lower(t)))
+            return F.when(several, F.concat(F.array(F.lower(t)), parts)).otherwise(F.array(F.lower(t)))
+
+        return let(subwords(t), of)
+
     def with_parts(t: Column) -> Column:
-        parts = subwords(t)
-        several = (F.size(parts) > 1) | ((F.size(parts) == 1) & (F.element_at(parts, 1) != F.lower(t)))
-        return F.when(several, F.concat(F.array(F.lower(t)), parts)).otherwise(F.array(F.lower(t)))
+        # most words are plain and are their own only part
+        return F.when(t.rlike("^(?:[a-z]+|[0-9]+)$"), F.array(t)).otherwise(more(t))
 
     return F.flatten(F.transform(words, with_parts))
 

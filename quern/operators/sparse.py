@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.dense import ranked
+from quern.session import spread
 
 K1, B = 1.2, 0.75
 MOST_TERMS = 64
+#: Queries whose terms one task holds at a time, and documents weighed together.
+BLOCK_QUERIES, BATCH_DOCS = 2_048, 512
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -28,28 +37,65 @@ def inverse_frequency(n_docs: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), F.ln(1 + (n_docs - n + 0.5) / (n + 0.5)))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, searched: DataFrame | None = None) -> DataFrame:
+def _weigh(ids: list, index: dict[str, tuple[float, np.ndarray]], avgdl: float, k: int, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), BATCH_DOCS):
+                part = f.iloc[lo : lo + BATCH_DOCS]
+                s = np.zeros((len(part), len(ids)))
+                for r, terms in enumerate(part["terms"]):
+                    scale = K1 * (1 - B + B * len(terms) / avgdl)
+                    for term, tf in Counter(terms).items():
+                        held = index.get(term)
+                        if held is not None:
+                            s[r, held[1]] += held[0] * tf * (K1 + 1) / (tf + scale)
+                s = np.round(s, digits)
+                n = min(k, len(part))
+                least = np.partition(s, len(part) - n, axis=0)[len(part) - n]
+                doc, query = np.nonzero((s >= least) & (s > 0))
+                yield pd.DataFrame({"query_id": [ids[j] for j in query], "id": part["id"].to_numpy()[doc], "score": s[doc, query]})
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, searched: DataFrame | None = None, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank_no): BM25 of docs (id, text) for queries (query_id, text).
 
     Statistics cover all documents; ``searched`` (id) may name those that can be
     hits. A query is the set of its first 64 search terms; a document that holds
-    none of them is no hit. Only terms that some query has are counted by document.
+    none of them is no hit. The queries go to the tasks in blocks of
+    BLOCK_QUERIES; documents stay where they are, and of each batch only what may
+    be among the k best of a query leaves it.
     """
     from quern.functions import queries as Q
 
-    terms = queries.select("query_id", F.explode(F.slice(Q.search_terms(T.content_tokens(F.col("text"))), 1, MOST_TERMS)).alias("term"))
-    lengths = docs.select("id", F.size(T.index_terms(F.col("text"))).alias("dl"))
-    held = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    n = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    hits = held.join(n, "term").join(lengths, "id")
-    if searched is not None:
-        hits = hits.join(searched.select("id"), "id", "left_semi")
-    weighed = (
-        hits.withColumn("n_docs", n_docs).withColumn("avgdl", avgdl)
-        .withColumn("idf", F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1))
-        .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    )
-    scores = terms.join(weighed.select("term", "id", "part"), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scores, k)
+    spark = docs.sparkSession
+    asked = queries.select("query_id", F.slice(Q.search_terms(T.content_tokens(F.col("text"))), 1, MOST_TERMS).alias("terms"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.index_terms(F.col("text")))).alias("avgdl")).first()
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    frequency = document_frequency(docs).join(wanted, "term", "left_semi")
+    pool = docs if searched is None else docs.join(searched.select("id"), "id", "left_semi")
+    words = spread(pool.select("id", T.index_terms(F.col("text")).alias("terms")), "id")
+    kinds = {c: t.simpleString() for c, t in (("q", queries.schema["query_id"].dataType), ("d", docs.schema["id"].dataType))}
+    schema = f"query_id {kinds['q']}, id {kinds['d']}, score double"
+    out, block = None, []
+
+    def against(rows: list) -> DataFrame:
+        terms = sorted({t for r in rows for t in r["terms"]})
+        of = spark.createDataFrame([(t,) for t in terms], "term string") if terms else wanted.where("false")
+        n = {r["term"]: r["n"] for r in frequency.join(of, "term", "left_semi").collect()}  # at most 64 terms a query of the block
+        places: dict[str, list[int]] = {}
+        for j, r in enumerate(rows):
+            for t in r["terms"]:
+                places.setdefault(t, []).append(j)
+        index = {t: (math.log((stats["n"] - n[t] + 0.5) / (n[t] + 0.5) + 1), np.array(at)) for t, at in places.items() if t in n}
+        part = words.mapInPandas(_weigh([r["query_id"] for r in rows], index, stats["avgdl"] or 1.0, k, digits), schema)
+        return part if out is None else out.unionByName(part)
+
+    for row in asked.orderBy("query_id").toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK_QUERIES:
+            out, block = against(block), []
+    if block:
+        out = against(block)
+    return ranked(out if out is not None else spark.createDataFrame([], schema), k)
