@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +82,59 @@ def features(shortlist: DataFrame, docs: DataFrame, queries: DataFrame, idf: Dat
     weights = q.select("query_id", F.explode("q").alias("term")).join(idf, "term", "left").groupBy("query_id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("idf", F.lit(0.0)).alias("w")))).alias("w")
     )
-    rows = shortlist.join(docs, "id", "left").join(q.join(weights, "query_id", "left"), "query_id", "left")
-    rows = rows.withColumn("d", T.index_terms(F.col("text"))).withColumn("m", F.filter("q", lambda t: F.array_contains(F.col("d"), t)))
-    n = F.size("q")
-
-    def total(terms: Column) -> Column:
-        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.col("w")[t], F.lit(0.0)))
-
-    idf_total = total(F.col("q"))
     head = T.index_terms(F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\R"), 1, 6), "\n"))
-    usable = (F.size("d") > 0) & (n > 0)
-    cols = {
-        "coverage": F.size("m") / n,
-        "idf_coverage": total(F.col("m")) / F.when(idf_total == 0, 1.0).otherwise(idf_total),
-        "phrase": F.least(F.lit(1.0), phrase_hits(F.col("d"), F.col("q")) / 3.0),
-        "proximity": proximity(F.col("d"), F.col("m")),
-        "head": F.size(F.array_intersect(F.col("q"), head)) / n,
-    }
-    rows = rows.withColumns({k: F.round(F.when(usable, v).otherwise(0.0), 6) for k, v in cols.items()})
+    terms = docs.select("id", T.index_terms(F.col("text")).alias("d"), head.alias("h"))
+    rows = shortlist.join(terms, "id", "left").join(q.join(weights, "query_id", "left"), "query_id", "left")
+    kinds = {c: shortlist.schema[c].dataType.simpleString() for c in ("query_id", "id", "rank_no")}
+    names = ("coverage", "idf_coverage", "phrase", "proximity", "head")
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", " + ", ".join(f"{c} double" for c in names)
+    found = rows.select("query_id", "id", "rank_no", "d", "h", "q", F.map_keys("w").alias("wk"), F.map_values("w").alias("wv")).mapInPandas(_features, schema)
     inter = w.coverage * F.col("coverage") + w.idf_coverage * F.col("idf_coverage") + w.phrase * F.col("phrase") + w.proximity * F.col("proximity") + w.head * F.col("head")
-    return rows.withColumn("interaction", F.round(inter, 6)).drop("d", "m", "w", "q", "text")
+    return found.withColumn("interaction", F.round(inter, 6))
+
+
+def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of question and document terms in batches: sets and one pass over the places, where array functions would compare all with all."""
+    for f in frames:
+        if not len(f):
+            continue
+        out = []
+        for d, h, q, keys, values in zip(f["d"], f["h"], f["q"], f["wk"], f["wv"], strict=True):
+            if d is None or q is None or not len(d) or not len(q):
+                out.append((0.0,) * 5)
+                continue
+            weight = dict(zip(keys, values, strict=True)) if keys is not None else {}
+            terms, doc = dict.fromkeys(q), set(d)
+            matched = [t for t in terms if t in doc]
+            total = sum(weight.get(t, 0.0) for t in terms) or 1.0
+            wanted = set(zip(q, q[1:], strict=False))
+            pairs = sum(p in wanted for p in zip(d, d[1:], strict=False))
+            heads = set(h)
+            out.append((
+                len(matched) / len(terms), sum(weight.get(t, 0.0) for t in matched) / total, min(1.0, pairs / 3.0), _nearest(d, set(matched)),
+                sum(t in heads for t in terms) / len(terms),
+            ))
+        values = pd.DataFrame(out, columns=["coverage", "idf_coverage", "phrase", "proximity", "head"], dtype="float64").round(6)
+        for at, c in enumerate(("query_id", "id", "rank_no")):
+            values.insert(at, c, f[c].tolist())
+        yield values
+
+
+def _nearest(doc: Iterable[str], matched: set[str]) -> float:
+    """As ``proximity``: the last place of each term, and at each place how far the oldest of these lies back."""
+    last: OrderedDict[str, int] = OrderedDict()
+    best, places = None, 0
+    for i, t in enumerate(doc):
+        if t in matched:
+            places += 1
+            last[t] = i
+            last.move_to_end(t)
+            if len(last) == len(matched):
+                span = i - next(iter(last.values())) + 1
+                best = span if best is None or span < best else best
+    if places < 2:
+        return float(places)
+    return 0.5 if len(matched) < 2 else len(matched) / max(len(matched), best)
 
 
 def structural(kind: Column, category: Column, idents: Column, query_idents: Column, query_terms: Column, length: Column, corpus_kind: str = "", w: Weights = Weights()) -> Column:

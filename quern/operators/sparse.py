@@ -42,6 +42,7 @@ def _weigh(ids: list, index: dict[str, tuple[float, np.ndarray]], avgdl: float,
         for f in frames:
             for lo in range(0, len(f), BATCH_DOCS):
                 part = f.iloc[lo : lo + BATCH_DOCS]
+                keys = part["id"].tolist()
                 s = np.zeros((len(part), len(ids)))
                 for r, terms in enumerate(part["terms"]):
                     scale = K1 * (1 - B + B * len(terms) / avgdl)
@@ -53,7 +54,8 @@ def _weigh(ids: list, index: dict[str, tuple[float, np.ndarray]], avgdl: float,
                 n = min(k, len(part))
                 least = np.partition(s, len(part) - n, axis=0)[len(part) - n]
                 doc, query = np.nonzero((s >= least) & (s > 0))
-                yield pd.DataFrame({"query_id": [ids[j] for j in query], "id": part["id"].to_numpy()[doc], "score": s[doc, query]})
+                if len(doc):
+                    yield pd.DataFrame({"query_id": [ids[j] for j in query], "id": [keys[i] for i in doc], "score": s[doc, query]})
 
     return run
 

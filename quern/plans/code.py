@@ -337,3 +337,38 @@ ORACLES = {
     "docs_per_term": f"SELECT version, term, count(*) AS n FROM (SELECT version, unnest(list_distinct({sql.index_terms('enriched')})) AS term FROM {_CUR}) GROUP BY 1, 2",
     "qrels_formats": "SELECT * FROM (VALUES ('q1', 's1', 1), ('q2', 's2', 1), ('q3', 's3', 2)) AS t(query_id, id, rel)",
 }
+
+
+def _languages(spark, d):
+    return _latest(spark, d).where("content IS NOT NULL").select("id", "content", hits.language_of(F.split_part("id", F.lit("::"), F.lit(1))).alias("lang"))
+
+
+def renamed_code(spark, d):
+    from quern.functions import transforms
+
+    rows = _languages(spark, d)
+    return rows.select("id", transforms.renamed(F.col("content"), F.col("lang")).alias("renamed"))
+
+
+def reordered_code(spark, d):
+    from quern.functions import transforms
+
+    return _languages(spark, d).where("lang = 'python'").select("id", transforms.reordered(F.col("content")).alias("reordered"))
+
+
+def leading_comments(spark, d):
+    from quern.functions import transforms
+
+    return _current(spark, d).where("content IS NOT NULL").select("id", "version", transforms.leading_comment(F.col("content")).alias("comment"))
+
+
+def search_hybrid(spark, d):
+    """The held-out items against the latest version's snippets: both arms, fusion, reranking."""
+    from quern.operators import search
+
+    docs = _latest(spark, d).where("content IS NOT NULL").select("id", F.col("enriched").alias("text"), "category", "identifiers").where("text IS NOT NULL")
+    asked = table(spark, d, "eval_items").groupBy(F.col("item_id").alias("query_id")).agg(F.max("text").alias("text")).where("text IS NOT NULL")
+    return search.search(docs, asked)
+
+
+QUERIES |= {f.__name__: f for f in (renamed_code, reordered_code, leading_comments, search_hybrid)}

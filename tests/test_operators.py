@@ -154,6 +154,8 @@ def test_proximity_against_two_pointers(spark):
     df = spark.createDataFrame(data, "k int, doc array<string>, m array<string>, want double")
     for x in df.select("want", rerank.proximity(F.col("doc"), F.col("m")).alias("got")).collect():
         assert abs(x["want"] - x["got"]) < 1e-9
+    for _, doc, matched, want in data:
+        assert abs(rerank._nearest(doc, set(matched)) - want) < 1e-9
 
 
 JS = "function validateSession(req) {\n  logEvent('start');\n  const url = SETTINGS_URL;\n  return validate(url);\n}\n"
