@@ -180,7 +180,8 @@ def _items(path: str, key: str, text: str) -> Callable[[Iterator[pd.DataFrame]],
             for lo in range(0, len(texts), 2_000):
                 part = texts[lo : lo + 2_000]
                 rows = [(k, kind, t[a:b], a, b) for k, t, items in zip(keys[lo:], part, find(part, model), strict=False) for a, b, kind in items]
-                yield pd.DataFrame(rows, columns=["doc_id", "kind", "found", "start", "end"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "kind", "found", "start", "end"])
 
     return run
 

@@ -116,7 +116,8 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 overlap = int(budget * share) if share is not None and share > 0 else 0
                 for no, (a, b, x, y) in enumerate(cut_points(content, budget, overlap)):
                     out.append((digest, c["config_name"], no, a, b, content[x:y]))
-        yield pd.DataFrame(out, columns=["digest", "config_name", "piece_no", "first_word", "end_word", "piece"])
+        if out:
+            yield pd.DataFrame(out, columns=["digest", "config_name", "piece_no", "first_word", "end_word", "piece"])
 
 
 def pieces(snippets: DataFrame, configs: DataFrame) -> DataFrame:
