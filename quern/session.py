@@ -27,8 +27,18 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
     return b.getOrCreate()
 
 
+def _importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
