@@ -135,22 +135,38 @@ def drop_differences(scores: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def pseudo_queries(snippets: DataFrame, least_words: int = 5) -> DataFrame:
-    """(query_id, text, answer): leading comments that are unique and stand in no snippet; snippets (id, content).
+    """(query_id, version, text, answer): leading comments that are unique and stand in no other snippet; snippets (id, version, content).
 
-    A comment leaks if it stands, in normal form, in another snippet: windows of
-    five words are hash-joined first, and only what shares one is compared whole.
+    A comment leaks if it stands, in normal form, in another snippet of any version:
+    windows of five words are hash-joined first, and only what shares one is compared
+    whole. Members of one lineage are the same snippet: they neither make its comment
+    ambiguous nor leak it. Equal contents are worked once.
     """
-    from quern.functions.text import words
+    from quern.functions.text import content_hash, words
+    from quern.operators.lineage import lineage_keys
+    from quern.session import checkpoint
 
-    comment = F.regexp_extract("content", r"^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)", 1)
-    found = snippets.select("id", F.trim(comment).alias("text"), F.lower(F.array_join(words(F.trim(comment)), " ")).alias("norm"))
-    found = found.where(F.size(F.split("norm", " ")) >= least_words)
-    alone = found.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("text").alias("text")).where("n = 1")
-    grams = alone.select(F.col("id").alias("query_id"), "norm", F.array_join(F.slice(F.split("norm", " "), 1, least_words), " ").alias("gram"))
+    digest = content_hash(F.col("content")).alias("digest")
+    placed = lineage_keys(checkpoint(snippets.select("id", "version", digest))).select("id", "version", "lineage", "digest")
+    pairs = placed.select("lineage", "digest").distinct()
 
-    body = F.lower(F.array_join(words(F.regexp_replace("content", r"(?m)^\s*(?:/\*\*?|//|#|\*)", "")), " "))
-    texts = snippets.select("id", body.alias("body"), words(body).alias("w")).where(F.size("w") >= least_words)
-    every = texts.select("id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (least_words - 1)), lambda i: F.array_join(F.slice("w", i, least_words), " ")))).alias("gram"))
-    leaked = every.join(grams, "gram").where((F.col("id") != F.col("query_id")) & F.contains("body", "norm")).select("query_id").distinct()
-    return alone.select(F.col("id").alias("query_id"), "text", F.col("id").alias("answer")).join(leaked, "query_id", "left_anti")
+    def first_window(c: Column) -> Column:
+        return F.xxhash64(F.array_join(F.slice(c, 1, least_words), " "))
 
+    comment = F.trim(F.regexp_extract("content", r"^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)", 1))
+    body = F.lower(F.array_join(words(F.regexp_replace("content", r"(?m)^\s*(?:/\*\*?|//|#|\*)", "")), " "))
+    contents = snippets.select(digest, "content").groupBy("digest").agg(F.first("content").alias("content"))
+    contents = checkpoint(contents.select("digest", F.xxhash64("digest").alias("k"), comment.alias("text"), F.lower(F.array_join(words(comment), " ")).alias("norm"), body.alias("body")))
+
+    found = contents.where(F.size(F.split("norm", " ")) >= least_words).select("digest", "text", "norm")
+    owners = found.join(pairs, "digest").groupBy("norm").agg(F.min("lineage").alias("owner"), F.max("lineage").alias("last")).where("owner = last").drop("last")
+    grams = owners.select("owner", "norm", first_window(F.split("norm", " ")).alias("gram"))
+
+    # hashes only propose: the bodies of all that share one are compared whole
+    w = F.split("body", " ")
+    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (least_words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, least_words), " ")))
+    every = contents.where(F.size(w) >= least_words).select("k", F.explode(F.array_distinct(windows)).alias("gram"))
+    near = every.join(grams, "gram").select("k", "norm", "owner").join(contents.select("k", "digest", "body"), "k").where(F.contains("body", "norm"))
+    leaked = near.select("digest", "norm", "owner").join(pairs, "digest").where(F.col("lineage") != F.col("owner")).select("norm").distinct()
+    kept = found.join(owners, "norm").join(leaked, "norm", "left_anti").select("digest", "text")
+    return placed.join(kept, "digest").select(F.col("id").alias("query_id"), "version", "text", F.col("id").alias("answer"))

@@ -8,7 +8,7 @@ from quern.functions import code as C
 from quern.functions import text as T
 from quern.operators import encode, hits, lexical, lineage, metrics, stats
 from quern.plans import sql
-from quern.session import table
+from quern.session import table, tasks
 from quern.sources import files, records, store
 
 
@@ -78,27 +78,28 @@ def describe_hits(spark, d):
     return rows.select("id", "version", "unit_path", "name", F.col("first_line").cast("bigint").alias("first_line"), F.col("last_line").cast("bigint").alias("last_line"), "language")
 
 
-def _files(spark, d):
-    """The files behind the latest version's snippets: their snippets one after the other."""
-    rows = _latest(spark, d).where("content IS NOT NULL").select(F.split_part("id", F.lit("::"), F.lit(1)).alias("path"), "start_line", "id", "content")
+def _files(rows):
+    """The files behind snippets, of each version: their snippets one after the other."""
+    rows = rows.where("content IS NOT NULL").select("version", F.split_part("id", F.lit("::"), F.lit(1)).alias("path"), "start_line", "id", "content")
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("start_line", F.lit(0)).alias("s"), "id", "content")))
-    return rows.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("content"))
+    return rows.groupBy("version", "path").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("content"))
 
 
 def scan_files(spark, d):
-    return files.classified(_files(spark, d), all_languages=True).select("path", "reason", "language")
+    return files.classified(_files(_current(spark, d)), all_languages=True, by=("version",)).select("version", "path", "reason", "language")
 
 
 def scan_report(spark, d):
-    return files.scan(_files(spark, d), all_languages=True)[1]
+    return files.scan(_files(_current(spark, d)), all_languages=True, by=("version",))[1]
 
 
 def extract_snippets(spark, d):
-    return files.extract(_files(spark, d))
+    return files.extract(_files(_current(spark, d)), by=("version",))
 
 
 def line_windows(spark, d):
-    rows = files.line_windows(_files(spark, d))
+    """Of the latest version's files, as its SQL says."""
+    rows = files.line_windows(_files(_latest(spark, d)))
     return rows.select("path", F.col("start_line").cast("bigint").alias("start_line"), "text")
 
 
@@ -136,7 +137,7 @@ def most_called(spark, d):
 
 def resolve_names(spark, d):
     phrases = spark.createDataFrame([("load config",), ("append",), ("'quoted thing'",), ("keyeror",), ("log warn",), ("no such name at all",)], "phrase string")
-    return lexical.resolve(lexical.vocabulary(_latest(spark, d)), phrases)
+    return lexical.resolve(lexical.vocabulary(_current(spark, d)), phrases)
 
 
 def latest_version(spark, d):
@@ -196,6 +197,7 @@ def cache_misses(spark, d):
 
 
 def encoded(spark, d):
+    """Of the latest version's snippets, as its SQL says."""
     rows = encode.encode(_latest(spark, d).select("id", F.col("content").alias("text")), encode.HashingEncoder(32))
     return rows.select("id", F.posexplode("vector").alias("pos", "x")).where("x <> 0").select("id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
@@ -216,7 +218,7 @@ def docs_per_term(spark, d):
 
 
 def leak_filter(spark, d):
-    return stats.pseudo_queries(_latest(spark, d).select("id", "content"))
+    return stats.pseudo_queries(_current(spark, d).select("id", "version", "content"))
 
 
 def qrels_formats(spark, d):
@@ -339,21 +341,25 @@ ORACLES = {
 }
 
 
-def _languages(spark, d):
-    return _latest(spark, d).where("content IS NOT NULL").select("id", "content", hits.language_of(F.split_part("id", F.lit("::"), F.lit(1))).alias("lang"))
+def _worked(spark, d, name, work, only=None):
+    """(id, version, name) of all versions; work makes a column of content and lang, once for each distinct pair of them."""
+    lang = hits.language_of(F.split_part("id", F.lit("::"), F.lit(1)))
+    rows = _current(spark, d).where("content IS NOT NULL").select("id", "version", "content", T.content_hash(F.col("content")).alias("key"), lang.alias("lang"))
+    rows = rows if only is None else rows.where(F.col("lang") == only)
+    distinct = rows.groupBy("key", "lang").agg(F.first("content").alias("content")).repartition(tasks(spark), "key")
+    return rows.select("id", "version", "key", "lang").join(distinct.select("key", "lang", work(F.col("content"), F.col("lang")).alias(name)), ["key", "lang"]).select("id", "version", name)
 
 
 def renamed_code(spark, d):
     from quern.functions import transforms
 
-    rows = _languages(spark, d)
-    return rows.select("id", transforms.renamed(F.col("content"), F.col("lang")).alias("renamed"))
+    return _worked(spark, d, "renamed", transforms.renamed)
 
 
 def reordered_code(spark, d):
     from quern.functions import transforms
 
-    return _languages(spark, d).where("lang = 'python'").select("id", transforms.reordered(F.col("content")).alias("reordered"))
+    return _worked(spark, d, "reordered", lambda content, _: transforms.reordered(content), "python")
 
 
 def leading_comments(spark, d):
