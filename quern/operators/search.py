@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import queries as Q
-from quern.operators import dense, fuse, lexical, rerank, sparse
+from quern.functions import text as T
+from quern.operators import dense, fuse, lexical, lineage, rerank, sparse
 from quern.operators.encode import Encoder, HashingEncoder
 
 
@@ -27,6 +28,8 @@ class SearchConfig:
     hub_beta: float = 0.0
     include_tests: bool = True
     corpus_kind: str = ""
+    view_weights: dict[str, float] | None = None
+    newest: bool = False
 
     @classmethod
     def lexical_only(cls) -> SearchConfig:
@@ -36,28 +39,40 @@ class SearchConfig:
     def dense_only(cls) -> SearchConfig:
         return cls(use_sparse=False, rerank=rerank.Weights.off())
 
+    @classmethod
+    def shipped(cls) -> SearchConfig:
+        """Dense only, over the views of code (RET-9)."""
+        return cls(use_sparse=False, rerank=rerank.Weights.off(), view_weights={"code": 1.0, "nl": 0.0, "raw": 1.0})
+
     def without_rerank(self) -> SearchConfig:
         return replace(self, rerank=rerank.Weights.off())
 
 
-def search(docs: DataFrame, questions: DataFrame, config: SearchConfig = SearchConfig(), encoder: Encoder | None = None, hubs: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, questions: DataFrame, config: SearchConfig = SearchConfig(), encoder: Encoder | None = None, hubs: DataFrame | None = None, views: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank_no) of docs (id, text, and category and identifiers for reranking) for questions (query_id, text).
 
     The arms' lists are cut to the shortlist, fused, cut again, reranked and cut to
     top_k; where tests are left out, four times as many are ranked before. All
-    questions go through one plan. A question no arm answers has no rows.
+    questions go through one plan. A question no arm answers has no rows. With view
+    weights the dense arm takes the best weighted view of views (id, view_name, text).
     """
     encoder = encoder or HashingEncoder()
     texts = docs.select("id", "text")
     lists: list[DataFrame] = []
     if config.use_dense:
+        if config.view_weights is not None and (views is None or hubs is not None and config.hub_beta):
+            raise ValueError("view weights need views, and no hubs")
         vectors = texts.select("id", encoder.column(F.col("text")).alias("vector"))
         asked = questions.select("query_id", encoder.column(F.col("text")).alias("vector"))
         bias: Column | None = None
         if hubs is not None and config.hub_beta:
             vectors = vectors.join(hubs, "id", "left")
             bias = -config.hub_beta * F.coalesce("hub", F.raise_error(F.lit("an indexed document has no hub")).cast("double"))
-        lists.append(dense.dense_topk(asked, vectors, config.shortlist, bias=bias))
+        if config.view_weights is not None:
+            seen = views.select("id", "view_name", encoder.column(F.col("text")).alias("vector"))
+            lists.append(dense.multi_view_topk(asked, seen, config.view_weights, config.shortlist))
+        else:
+            lists.append(dense.dense_topk(asked, vectors, config.shortlist, bias=bias))
     if config.use_sparse:
         lists.append(sparse.bm25(texts, questions, config.shortlist))
     if not lists:
@@ -75,6 +90,26 @@ def search(docs: DataFrame, questions: DataFrame, config: SearchConfig = SearchC
     return hits
 
 
+def search_versions(docs: DataFrame, questions: DataFrame, versions: DataFrame, config: SearchConfig = SearchConfig(), encoder: Encoder | None = None, views: DataFrame | None = None) -> DataFrame:
+    """(query_id, lineage, id, version, score, versions, rank_no): ``search`` over all versions, collapsed by lineage.
+
+    docs (id, version, h, text, ...) with h the hash of the content, views (id,
+    version, view_name, text), versions (version, ord). Every row is a document of
+    its own; the ranking before the collapse is as many times longer as there are versions.
+    """
+    key = F.to_json(F.struct("id", "version"))
+    n = max(1, versions.count())
+    deep = replace(config, include_tests=True, top_k=config.top_k * n * (1 if config.include_tests else 4), shortlist=max(config.shortlist, 10 * config.top_k) * n)
+    keyed = docs.withColumn("id", key).drop("version", "h")
+    hits = search(keyed, questions, deep, encoder, views=None if views is None else views.withColumn("id", key).drop("version"))
+    k = F.from_json("id", "id string, version string")
+    found = hits.select("query_id", k.alias("k"), "score").select("query_id", "k.id", "k.version", "score")
+    if not config.include_tests:
+        found = found.where(~T.is_test_path(F.split_part("id", F.lit("::"), F.lit(1))))
+    members = lineage.lineage_keys(docs.select("id", "version", "h")).join(versions.select("version", "ord"), "version")
+    return lineage.collapsed(found, members, config.top_k, config.newest).select("query_id", "lineage", "id", "version", "score", "versions", "rank_no")
+
+
 def _reranked(short: DataFrame, docs: DataFrame, questions: DataFrame, config: SearchConfig, k: int) -> DataFrame:
     p = questions.select("query_id", Q.processed(F.col("text"), config.question).alias("p")).select("query_id", "p.tokens", "p.category", "p.identifiers")
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()

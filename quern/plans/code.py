@@ -8,7 +8,7 @@ from quern.functions import code as C
 from quern.functions import text as T
 from quern.operators import encode, hits, lexical, lineage, metrics, stats
 from quern.plans import sql
-from quern.session import table, tasks
+from quern.session import checkpoint, table, tasks
 from quern.sources import files, records, store
 
 
@@ -369,12 +369,13 @@ def leading_comments(spark, d):
 
 
 def search_hybrid(spark, d):
-    """The held-out items against the latest version's snippets: both arms, fusion, reranking."""
+    """The held-out items against the snippets of all versions: both arms, fusion, reranking, collapse by lineage."""
     from quern.operators import search
+    from quern.operators.snapshots import canonical_hash, version_order
 
-    docs = _latest(spark, d).where("content IS NOT NULL").select("id", F.col("enriched").alias("text"), "category", "identifiers").where("text IS NOT NULL")
+    docs = _current(spark, d).where("content IS NOT NULL").select("id", "version", canonical_hash().alias("h"), F.col("enriched").alias("text"), "category", "identifiers").where("text IS NOT NULL")
     asked = table(spark, d, "eval_items").groupBy(F.col("item_id").alias("query_id")).agg(F.max("text").alias("text")).where("text IS NOT NULL")
-    return search.search(docs, asked)
+    return search.search_versions(checkpoint(docs), asked, version_order(table(spark, d, "versions")))
 
 
 QUERIES |= {f.__name__: f for f in (renamed_code, reordered_code, leading_comments, search_hybrid)}

@@ -1,7 +1,10 @@
+import dataclasses
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.operators import search
 from quern.plans import code
 
 GONE = "def removed_long_ago(items):\n    first = 1\n    second = 2\n    return first + second + len(items)\n"
@@ -60,3 +63,17 @@ def test_names_of_every_version(spark, data, monkeypatch):
     monkeypatch.setattr(lexical, "resolve", lambda vocab, phrases: seen.update(names=rows_of(vocab, "name")))
     code.resolve_names(spark, data)
     assert ("removed_long_ago",) in seen["names"]
+
+
+def test_search_over_versions(spark):
+    docs = [(f"p/a.py::load#{k}", f"v{v}", f"h{v}", "load config file from the disk") for k, v in ((1, 1), (2, 2), (3, 3))]
+    docs += [("p/b.py::read#1", "v1", "x", "read config text quickly"), ("p/tests/test_c.py::load#1", "v2", "y", "load config file")]
+    docs = spark.createDataFrame(docs, "id string, version string, h string, text string")
+    asked = spark.createDataFrame([("q", "load config file")], "query_id string, text string")
+    versions = spark.createDataFrame([(f"v{v}", v) for v in (1, 2, 3)], "version string, ord int")
+    got = search.search_versions(docs, asked, versions, search.SearchConfig(top_k=3)).collect()
+    assert sorted(r["lineage"] for r in got) == ["p/a.py::load", "p/b.py::read", "p/tests/test_c.py::load"]
+    assert {r["lineage"]: r["versions"] for r in got}["p/a.py::load"] == "v1 v2 v3" and sorted(r["rank_no"] for r in got) == [1, 2, 3]
+    views = docs.select("id", "version", F.lit("code").alias("view_name"), "text").unionByName(docs.select("id", "version", F.lit("nl").alias("view_name"), F.lit("nothing alike").alias("text")))
+    got = search.search_versions(docs, asked, versions, dataclasses.replace(search.SearchConfig.shipped(), include_tests=False), views=views).collect()
+    assert {r["lineage"] for r in got} == {"p/a.py::load", "p/b.py::read"}
