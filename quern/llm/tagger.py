@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import time
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,34 +105,94 @@ class Tagger:
             out[t] = s
         return out
 
-    def tags(self, x: np.ndarray) -> np.ndarray:
-        """Best tag sequence (time, batch) for codes (time, batch); padding is at the end."""
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores (time, batch, tags) for codes (time, batch); padding is at the end and only fits O."""
         steps, batch = x.shape
         h = self.w["V"].shape[0] // 2
         score = self._states(x, "f").reshape(-1, h) @ self.w["V"][:h]
         score += self._states(x, "r").reshape(-1, h) @ self.w["V"][h:]
         score = (score + self.w["c"]).reshape(steps, batch, TAGS)
         score[x == 0, 1:] -= 1e4
+        return score
+
+    def blank(self, score: np.ndarray) -> np.ndarray:
+        """Which sequences of the batch are O throughout, by a bound that is never wrong.
+
+        The kinds are put together: a B and an I state take the best score and the best
+        transition of all of theirs, so no path of the tagger gains more over O than the best path of these three states.
+        """
+        t, b, i = self.w["T"] - self.w["T"][0, 0], slice(1, None, 2), slice(2, None, 2)
+        s, z = self.w["S"] - self.w["S"][0], self.w["Z"] - self.w["Z"][0]
+        ob, oi, bb, bi, ib, ii, bo, io = (float(x.max()) for x in (t[0, b], t[0, i], t[b, b], t[b, i], t[i, b], t[i, i], t[b, 0], t[i, 0]))
+        eb = score[:, :, b].max(2) - score[:, :, 0]
+        ei = score[:, :, i].max(2) - score[:, :, 0]
+        at_b, at_i, back = eb[0] + s[b].max(), ei[0] + s[i].max(), np.full(score.shape[1], -1e9, np.float32)
+        for k in range(1, len(score)):
+            out = np.maximum(back, 0)
+            new_b = eb[k] + np.maximum(np.maximum(out + ob, at_b + bb), at_i + ib)
+            new_i = ei[k] + np.maximum(np.maximum(out + oi, at_b + bi), at_i + ii)
+            back = np.maximum(back, np.maximum(at_b + bo, at_i + io))
+            at_b, at_i = new_b, new_i
+        return np.maximum(back, np.maximum(at_b + z[b].max(), at_i + z[i].max())) < 0
+
+    def decode(self, score: np.ndarray) -> np.ndarray:
+        """Best tag sequence (time, batch) under the transitions; the ways back are looked up only where they are taken."""
+        steps, batch, _ = score.shape
         trans = self.w["T"]
-        back = np.empty((steps, batch, TAGS), np.int8)
-        v = score[0] + self.w["S"]
+        held = np.empty((steps, batch, TAGS), np.float32)
+        held[0] = score[0] + self.w["S"]
         for t in range(1, steps):
-            m = v[:, :, None] + trans
-            back[t] = m.argmax(1)
-            v = m.max(1) + score[t]
-        best = (v + self.w["Z"]).argmax(1)
+            v = held[t - 1]
+            m = v[:, 0, None] + trans[0]
+            for k in range(1, TAGS):
+                np.maximum(m, v[:, k, None] + trans[k], out=m)
+            np.add(m, score[t], out=held[t])
+        best = (held[-1] + self.w["Z"]).argmax(1)
+        turned = np.ascontiguousarray(trans.T)
         out = np.empty((steps, batch), np.int8)
         out[-1] = best
-        row = np.arange(batch)
         for t in range(steps - 1, 0, -1):
-            best = back[t, row, best]
+            best = (held[t - 1] + turned[best]).argmax(1)
             out[t - 1] = best
         return out
 
+    def decode_pieces(self, pieces: Iterable[np.ndarray], length: int) -> np.ndarray:
+        """Best tags of one sequence whose scores (time, tags) come in pieces; only the way back is held for all of it."""
+        turned = np.ascontiguousarray(self.w["T"].T)
+        back = np.empty((length, TAGS), np.int8)
+        v, t = None, 0
+        for piece in pieces:
+            for row in piece:
+                if v is None:
+                    v = row + self.w["S"]
+                else:
+                    m = v + turned
+                    back[t] = m.argmax(1)
+                    v = m.max(1) + row
+                t += 1
+            v = v - v.max()
+        out = np.empty(length, np.int8)
+        out[-1] = best = int((v + self.w["Z"]).argmax())
+        for t in range(length - 1, 0, -1):
+            out[t - 1] = best = int(back[t, best])
+        return out
+
+    def tags(self, x: np.ndarray) -> np.ndarray:
+        """Best tag sequence (time, batch) for codes (time, batch); padding is at the end."""
+        score = self.emissions(x)
+        out = np.zeros(x.shape, np.int8)
+        some = np.flatnonzero(~self.blank(score))
+        if len(some):
+            out[:, some] = self.decode(score[:, some])
+        return out
+
     # training
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood over the batch and its gradients; x, y (time, batch), padding (code 0) at the end."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, drop: float = 0.0, seed: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log-likelihood over the batch and its gradients; x, y (time, batch), padding (code 0) at the end.
+
+        drop: share of the states, alike at all characters of a sequence, left out.
+        """
         w = self.w
         steps, batch = x.shape
         h = w["V"].shape[0] // 2
@@ -149,35 +212,38 @@ class Tagger:
                 gates[t] = np.concatenate([i, f, g, o], 1)
                 cells[t], states[t] = c, s
             keep[d] = gates, cells, states
-        both = np.concatenate([keep["f"][2], keep["r"][2]], 2)
+        kept = ((np.random.default_rng(seed).random((batch, 2 * h)) >= drop) / (1 - drop)).astype(np.float32)
+        both = np.concatenate([keep["f"][2], keep["r"][2]], 2) * kept
         score = both @ w["V"] + w["c"]
 
-        # CRF: forward and backward over the masked sequences
-        m1 = mask[:, :, None]
-        alpha = np.empty_like(score)
-        alpha[0] = score[0] + w["S"]
+        # CRF: forward and backward over the masked sequences, in probabilities scaled at each step
+        top = score.max(2, keepdims=True)
+        es = np.exp(score - top)
+        step = np.exp(w["T"])
+        first, final = np.exp(w["S"]), np.exp(w["Z"])
+        alpha, scale = np.empty_like(score), np.ones((steps, batch), np.float32)
+        a = es[0] * first
+        scale[0] = a.sum(1)
+        alpha[0] = a / scale[0][:, None]
         for t in range(1, steps):
-            a = alpha[t - 1][:, :, None] + w["T"]
-            top = a.max(1, keepdims=True)
-            alpha[t] = np.where(m1[t], np.log(np.exp(a - top).sum(1)) + top[:, 0] + score[t], alpha[t - 1])
-        last = alpha[-1] + w["Z"]
-        top = last.max(1, keepdims=True)
-        log_z = np.log(np.exp(last - top).sum(1)) + top[:, 0]
+            a = (alpha[t - 1] @ step) * es[t]
+            scale[t] = np.where(mask[t], a.sum(1), 1)
+            alpha[t] = np.where(mask[t][:, None], a / scale[t][:, None], alpha[t - 1])
+        last = (alpha[-1] * final).sum(1)
+        log_z = np.where(mask, np.log(scale) + top[:, :, 0], 0).sum(0) + np.log(last)
         beta = np.empty_like(score)
-        beta[-1] = w["Z"]
-        gT = np.zeros_like(w["T"])
+        beta[-1] = final / last[:, None]
+        come = np.zeros_like(score)
         for t in range(steps - 1, 0, -1):
-            b = (score[t] + beta[t])[:, None, :] + w["T"]
-            top = b.max(2, keepdims=True)
-            beta[t - 1] = np.where(m1[t], np.log(np.exp(b - top).sum(2)) + top[:, :, 0], beta[t])
-            p = np.exp(alpha[t - 1][:, :, None] + b - log_z[:, None, None])
-            gT += np.where(mask[t][:, None, None], p, 0).sum(0)
-        gscore = np.where(m1, np.exp(alpha + beta - log_z[None, :, None]), 0)
+            come[t] = np.where(mask[t][:, None], es[t] * beta[t] / scale[t][:, None], 0)
+            beta[t - 1] = np.where(mask[t][:, None], come[t] @ step.T, beta[t])
+        gT = step * (alpha[:-1].reshape(-1, TAGS).T @ come[1:].reshape(-1, TAGS))
+        gscore = np.where(mask[:, :, None], alpha * beta, 0)
         gS = gscore[0].sum(0)
         length = mask.sum(0)
         row = np.arange(batch)
         end = y[length - 1, row]
-        gZ = np.exp(last - log_z[:, None]).sum(0)
+        gZ = (alpha[-1] * beta[-1]).sum(0)
         gold = w["S"][y[0]] + w["Z"][end]
         tt, bb = np.nonzero(mask)
         gold = gold + np.bincount(bb, weights=score[tt, bb, y[tt, bb]], minlength=batch)
@@ -191,7 +257,7 @@ class Tagger:
         grad = {"T": gT, "S": gS, "Z": gZ, "V": both.reshape(-1, 2 * h).T @ gscore.reshape(-1, TAGS), "c": gscore.sum((0, 1))}
 
         # back through time
-        gboth = gscore @ w["V"].T
+        gboth = (gscore @ w["V"].T) * kept
         gemb = np.zeros_like(emb)
         for n, d in enumerate("fr"):
             gates, cells, states = keep[d]
@@ -222,36 +288,60 @@ class Tagger:
         grad["E"] = gE
         return loss, {k: (v / batch).astype(np.float32) for k, v in grad.items()}
 
-    def train(self, samples: list[tuple[np.ndarray, np.ndarray]], epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 3, tell=None) -> None:
-        """Adam over batches of samples of like length; samples are (codes, tags)."""
+    def train(self, samples: list[tuple[np.ndarray, np.ndarray]], epochs: float = 4, batch: int = 64, rate: float = 4e-3, seed: int = 3, seconds: float = 1e9, workers: int = 1, drop: float = 0.25, tell=None) -> None:
+        """Adam over batches of samples of like length; samples are (codes, tags). Each step takes one batch of each worker; ends after ``seconds`` if that comes first."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.w.items()}
-        order = sorted(range(len(samples)), key=lambda k: len(samples[k][0]))
+        order = sorted(range(len(samples)), key=lambda k: (len(samples[k][0]), k * 7919 % 10_007))
         groups = [order[a : a + batch] for a in range(0, len(order), batch)]
-        n, total = 0, epochs * len(groups)
-        for epoch in range(epochs):
-            losses = []
-            for g in r.permutation(len(groups)):
-                some = [samples[k] for k in groups[g]]
-                steps = max(len(x) for x, _ in some)
-                x = np.zeros((steps, len(some)), np.int16)
-                y = np.zeros((steps, len(some)), np.int64)
-                for k, (a, b) in enumerate(some):
-                    x[: len(a), k], y[: len(a), k] = a, b
-                loss, grad = self.gradients(x, y)
-                losses.append(loss)
-                n += 1
-                size = np.sqrt(sum(float((q * q).sum()) for q in grad.values()))
-                clip = min(1.0, 5.0 / (size + 1e-9))
-                lr = rate * min(1.0, n / 100) * (1 - 0.95 * n / total)
-                for k, q in grad.items():
-                    q = q * clip
-                    m[k] += 0.1 * (q - m[k])
-                    v2[k] += 0.002 * (q * q - v2[k])
-                    self.w[k] -= lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v2[k] / (1 - 0.998**n)) + 1e-8)
-            if tell:
-                tell(epoch, float(np.mean(losses)))
+        if workers > 1:
+            _SHARED.update(samples=samples, groups=groups)
+        pool = multiprocessing.get_context("fork").Pool(workers) if workers > 1 else None
+        began, n, losses = time.time(), 0, []
+        queue: list[int] = []
+        total = max(1, int(epochs * len(groups) / workers))
+        while n < total:
+            progress = max(n / total, (time.time() - began) / seconds)
+            if progress >= 1:
+                break
+            if len(queue) < workers:
+                queue += r.permutation(len(groups)).tolist()
+            some, queue = queue[:workers], queue[workers:]
+            found = pool.map(_gradient_of, [(self.w, g, drop, n) for g in some], chunksize=1) if pool else [self._of_group(samples, groups[g], drop, n) for g in some]
+            grad = {k: sum(q[k] for _, q in found) / len(found) for k in self.w}
+            losses.append(float(np.mean([x for x, _ in found])))
+            n += 1
+            size = np.sqrt(sum(float((q * q).sum()) for q in grad.values()))
+            clip = min(1.0, 5.0 / (size + 1e-9))
+            lr = rate * min(1.0, n / 100) * (1 - 0.97 * progress)
+            for k, q in grad.items():
+                q = q * clip
+                m[k] += 0.1 * (q - m[k])
+                v2[k] += 0.002 * (q * q - v2[k])
+                self.w[k] -= lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v2[k] / (1 - 0.998**n)) + 1e-8)
+            if tell and n % 500 == 0:
+                tell(n, float(np.mean(losses[-500:])))
+        if pool:
+            pool.terminate()
+
+    def _of_group(self, samples: list[tuple[np.ndarray, np.ndarray]], group: list[int], drop: float = 0.0, seed: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+        some = [samples[k] for k in group]
+        steps = max(len(x) for x, _ in some)
+        x = np.zeros((steps, len(some)), np.int16)
+        y = np.zeros((steps, len(some)), np.int64)
+        for k, (a, b) in enumerate(some):
+            x[: len(a), k], y[: len(a), k] = a, b
+        return self.gradients(x, y, drop, seed * 100_003 + group[0])
+
+
+#: Samples and batches of the training that runs, as its worker processes inherit them.
+_SHARED: dict = {}
+
+
+def _gradient_of(job: tuple[dict[str, np.ndarray], int, float, int]) -> tuple[float, dict[str, np.ndarray]]:
+    w, g, drop, seed = job
+    return Tagger(w)._of_group(_SHARED["samples"], _SHARED["groups"][g], drop, seed)
 
 
 def tag_array(length: int, spans: list[tuple[int, int, str]]) -> np.ndarray:

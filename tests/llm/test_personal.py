@@ -17,6 +17,19 @@ CASES = [
     ("they live at 36, rue du Larkspire, 00858 Norvik, next to the tree", "address", "36, rue du Larkspire, 00858 Norvik"),
     ("Visit us: Flat 20, 394 Larkspire Gardens, Kettlebury QQ9 4ZZ.", "address", "Flat 20, 394 Larkspire Gardens, Kettlebury QQ9 4ZZ"),
 ]
+#: Surroundings the tagger was not trained on, and names with particles.
+OTHER = [
+    ("Maintainer: Ludwig van der Berg", "name", "Ludwig van der Berg"),
+    ("Maintainer: Maria de la Cruz", "name", "Maria de la Cruz"),
+    ("Thanks to Klaus von der Heide for the review", "name", "Klaus von der Heide"),
+    ("Please contact Priya Raman about the outage.", "name", "Priya Raman"),
+    ("Patient: John Smith, born 1971", "name", "John Smith"),
+    ("Met Hannah Goldberg at the station", "name", "Hannah Goldberg"),
+    ("Dear Yuki Tanaka,", "name", "Yuki Tanaka"),
+    ("IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789", "id_number", "123-45-6789"),
+    ("I live at 12 Elm Street, Springfield 12345.", "address", "12 Elm Street, Springfield 12345"),
+    ("mail me at joe.doe@example.com today", "email", "joe.doe@example.com"),
+]
 NOTHING = [
     "git clone git@forge.example:lumen/beacon.git", "ssh deploy@10.1.64.3 -p 2264", "order number 8542-857-8531 is only a fixture", "build 5527-0127 failed on host 10.0.27.7",
     "Author: the Weighted Pool team", "Read The Stream Guide and the Nested Stream chapter first", "@quietrow78 can you look?", "Reported-by: quietbuffer93",
@@ -30,7 +43,7 @@ def model():
 
 
 def test_items(model):
-    for line, kind, item in CASES:
+    for line, kind, item in CASES + OTHER:
         for text in (line, "Some text before.\n\n" + line + "\nand after"):
             (found,) = personal.find([text], model)
             assert [(text[a:b], k) for a, b, k in found] == [(item, kind)], text
@@ -57,6 +70,25 @@ def test_frames(spark):
     assert personal.items(docs.where("false")).count() == 0
 
 
+def test_blank_is_never_wrong(model):
+    r = np.random.default_rng(3)
+    t = tagger.Tagger.fresh(hidden=4, chars=3)
+    for k in ("T", "S", "Z"):
+        t.w[k] = r.normal(size=t.w[k].shape).astype(np.float32)
+    for lean in (0.0, 1.0, 2.0, 4.0):
+        score = r.normal(size=(12, 200, tagger.TAGS)).astype(np.float32)
+        score[:, :, 0] += lean
+        assert not t.decode(score)[:, t.blank(score)].any()
+
+
+def test_pieces_are_decoded_as_a_whole(model, monkeypatch):
+    line = "the pool keeps a row, " * 60 + "Maintainer: Brelka Tamberlane and so on " + "with rows, " * 90
+    codes = personal.codes_of(line)
+    whole = personal._long([codes], model)[0]
+    assert whole.any() and (model.decode_pieces(np.array_split(personal.scores_of([codes], model)[0], 7), len(codes)) == whole).all()
+    assert (personal._endless(codes, model) == whole).all()
+
+
 def test_gradients():
     t = tagger.Tagger.fresh(hidden=4, chars=3)
     t.w = {k: v.astype(np.float64) for k, v in t.w.items()}
@@ -87,7 +119,7 @@ def test_training_learns():
         samples.append((tagger.encode(s), tagger.tag_array(len(s), [(3, 3 + len(item), "name")])))
     t = tagger.Tagger.fresh(hidden=12, chars=8)
     before = t.gradients(samples[0][0][:, None], samples[0][1][:, None])[0]
-    t.train(samples, epochs=30, batch=32)
+    t.train(samples, epochs=30, batch=32, drop=0)
     assert t.gradients(samples[0][0][:, None], samples[0][1][:, None])[0] < 0.5 * before
 
 
