@@ -125,7 +125,7 @@ def reordered(source: Column) -> Column:
 def leading_comment(source: Column) -> Column:
     """The comment a definition begins with (block or run of line comments), in one line without its marks; null if there is none."""
     block = F.regexp_extract(source, r"(?s)^\s*/\*+(.*?)\*/", 1)
-    run = F.regexp_extract(source, r"^((?:\s*(?://|#)[^\n]*\n?)+)", 1)
+    run = F.regexp_extract(source, r"^((?:\s*+(?://|#)[^\n]*+\n?+)*+)", 1)  # possessive: matched in a loop, however long the run is
     text = F.when(block != "", block).otherwise(run)
     clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*(?://+|#+|\*+)\s?", ""), r"\s+", " "))
     return F.nullif(clean, F.lit(""))

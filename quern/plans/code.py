@@ -283,7 +283,12 @@ def _kind() -> str:
 
 
 def _control() -> str:
-    found = [f"CASE WHEN regexp_matches(body, '{p}') THEN '{name}' END" for name, p in C.CONTROL]
+    def shown(marks: str) -> str:
+        words = marks.split()
+        end = r"\s*\(" if words[0].endswith("(") else r"\b"
+        return r"\b(?:" + "|".join(w.rstrip("(").replace(".", r"\.") for w in words) + ")" + end
+
+    found = [f"CASE WHEN regexp_matches(body, '{shown(marks)}') THEN '{phrase}' END" for phrase, marks in C.CONTROL_WORDS.items()]
     found.append("CASE WHEN coalesce(list_max(list_transform(regexp_extract_all(body, '(?m)^( +)', 1), lambda s: length(s) // 4)), 0) >= 3 THEN 'deeply nested' END")
     found.append(r"CASE WHEN l = 'python' AND regexp_matches(body, '(?m)^\s*class\s+\w') THEN 'defines class' END")
     return f"array_to_string(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL), ', ')"

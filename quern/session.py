@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -43,12 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir (a folder of our own only where it is unset, as in tests)."""
+    """Cut the lineage through the shared folder in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (as in tests) gets a folder of its own; on a cluster there is no folder all tasks share, which is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quern-checkpoints")
-        sc.setCheckpointDir(shared)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoints-"))
     return df.checkpoint(eager=True)
 
 

@@ -84,3 +84,19 @@ def test_vectors(spark):
     assert one(spark, V.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == 0.0
     pooled = one(spark, V.mean_pooled(F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))))
     assert abs(pooled[0] - 0.5**0.5) < 1e-9
+
+
+def test_very_long_literals_and_comments(spark):
+    from quern.functions import code, transforms
+    from quern.operators import lexical
+
+    plain, escaped = "x" * 1_000_000, '\\"' * 500_000
+    rows = [(1, f'def f(a):\n    g("{plain}")\n    return h("{escaped}")\n'), (2, "let x = '" + "\\'" * 500_000 + "'; call(x)"), (3, '"' * 200_001 + " open('a')"), (4, "# note\n" * 200_000 + "x = 1\n"), (5, "a" + ".b" * 500_000)]
+    df = spark.createDataFrame(rows, "id int, content string")
+    got = {r["id"]: r["p"] for r in df.select("id", code.parsed(F.col("content")).alias("p")).collect()}
+    assert got[1]["calls"] == ["g", "h"] and got[1]["names"] == ["f"] and got[2]["calls"] == ["call"]
+    assert df.select(code.summary(F.col("content"))).count() == df.select(transforms.leading_comment(F.col("content"))).count() == 5
+    comments = df.where("id = 4").select(transforms.leading_comment(F.col("content")).alias("c")).first()["c"]
+    assert len(comments) == 200_000 * 5 - 1
+    assert {r["name"] for r in lexical.most_called(df).collect()} >= {"g", "h", "call", "open"}
+    assert lexical.vocabulary(df).count() > 5
