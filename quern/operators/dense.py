@@ -1,77 +1,99 @@
-"""Exact dense search over all rows, in blocks of queries (RET-1..4, 18, 20, 21, 23)."""
+"""Exact dense search over all rows, as a grid of blocks (RET-1..4, 18, 20, 21, 23).
+
+Queries and documents are dealt out by hash into blocks of a bounded number of
+rows; each pair of blocks meets in one group, where scores are matrix products.
+Nothing is collected, both sides are read once, and a task holds one block of
+either side, whatever their sizes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+from quern.session import tasks
+
+#: Rows of a block of either side; documents a block has at least if it is not the only one; queries and documents multiplied at once.
+BLOCK_ROWS, LEAST_ROWS = 50_000, 2_000
+CHUNK_QUERIES, CHUNK_DOCS = 1_024, 4_096
+
+
+def grid(queries: DataFrame, docs: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """run(queries, documents) of every pair of a block of queries (query_id, ...) and a block of documents (id, ...)."""
+    n_queries, n_docs = queries.count(), docs.count()
+    across = -(-n_queries // block_rows) or 1
+    down = max(-(-n_docs // block_rows), min(tasks(docs.sparkSession), n_docs // LEAST_ROWS)) or 1
+
+    def dealt(rows: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        at = F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int")
+        return rows.select("*", at.alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
+
+    q = dealt(queries, "query_id", ("block_q", across), ("block_d", down))
+    d = dealt(docs, "id", ("block_d", down), ("block_q", across))
+    return q.groupBy("block_d", "block_q").cogroup(d.groupBy("block_d", "block_q")).applyInArrow(run, schema)
+
+
+def arrow_type(t: DataType) -> pa.DataType:
+    return {"long": pa.int64(), "integer": pa.int32()}.get(t.typeName(), pa.string())
+
+
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, query) places of the k best scores of each query (documents by queries); ties with the k-th are kept, minus infinity is not."""
+    n = min(k, len(scores))
+    least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
+    return np.nonzero((scores >= least) & np.isfinite(scores))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    dim = len(whole[0]) if len(whole) else 0
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _chunks(n: int, size: int) -> list[slice]:
+    return [slice(a, min(n, a + size)) for a in range(0, n, size)]
+
 
-#: Queries whose vectors one task holds at a time.
-BLOCK_QUERIES = 2_048
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    dim = len(column[0]) if len(column) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def _score(ids: list, q: np.ndarray, k: int, floor: float | None, digits: int, id_type: pa.DataType, query_type: pa.DataType, skip_self: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column("vector"))
-            bias = b.column("bias").to_numpy(zero_copy_only=False)
-            keys = b.column("id").to_pylist()
-            s = np.round(x @ q.T + bias[:, None], digits)  # documents by queries
-            if skip_self:
-                place = {v: i for i, v in enumerate(ids)}
-                for r, key in enumerate(keys):
-                    if key in place:
-                        s[r, place[key]] = -np.inf
-            if floor is not None:
-                s = np.where(s > floor, s, -np.inf)
-            n = min(k, len(keys))
-            # the k-th best score of each query in this batch; everything not below it stays, so ties are kept whole
-            least = np.partition(s, len(keys) - n, axis=0)[len(keys) - n]
-            doc, query = np.nonzero((s >= least) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[j] for j in query], query_type), pa.array([keys[i] for i in doc], id_type), pa.array(s[doc, query], pa.float64())],
-                ["query_id", "id", "score"],
-            )
+def _score(k: int, floor: float | None, digits: int, id_type: pa.DataType, query_type: pa.DataType, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = [], [], []
+        if queries.num_rows and docs.num_rows:
+            x, q = _matrix(docs["vector"]), _matrix(queries["vector"])
+            bias = docs["bias"].to_numpy()
+            ids, names = np.array(docs["id"].to_pylist(), object), np.array(queries["query_id"].to_pylist(), object)
+            place = {v: i for i, v in enumerate(ids)} if skip_self else {}
+            own = np.array([place.get(v, -1) for v in names])
+            for qs in _chunks(len(q), CHUNK_QUERIES):
+                for ds in _chunks(len(x), CHUNK_DOCS):
+                    s = np.round(x[ds] @ q[qs].T + bias[ds, None], digits)  # documents by queries
+                    mine = np.flatnonzero((own[qs] >= ds.start) & (own[qs] < ds.stop)) if skip_self else []
+                    s[own[qs][mine] - ds.start, mine] = -np.inf
+                    if floor is not None:
+                        s[~(s > floor)] = -np.inf
+                    doc, query = best_of(s, k)
+                    found[0].append(names[qs][query])
+                    found[1].append(ids[ds][doc])
+                    found[2].append(s[doc, query])
+        query_ids, doc_ids, scores = (np.concatenate(x) if x else [] for x in found)
+        return pa.table([pa.array(list(query_ids), query_type), pa.array(list(doc_ids), id_type), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
 
     return run
 
 
 def scored(queries: DataFrame, docs: DataFrame, k: int, floor: float | None = 0.0, digits: int = 6, skip_self: bool = False) -> DataFrame:
-    """(query_id, id, score): of every batch of documents, what may be among the k best of a query.
+    """(query_id, id, score): of every block of documents, what may be among the k best of a query.
 
-    queries (query_id, vector), docs (id, vector, bias). The queries go to the
-    tasks in blocks of BLOCK_QUERIES; documents are not shuffled.
+    queries (query_id, vector), docs (id, vector, bias).
     """
     query_kind, id_kind = queries.schema["query_id"].dataType, docs.schema["id"].dataType
-    types = [pa.int64() if t.typeName() == "long" else pa.int32() if t.typeName() == "integer" else pa.string() for t in (id_kind, query_kind)]
-    out, ids, block = None, [], []
-
-    def against() -> DataFrame:
-        run = _score(list(ids), np.array(block, np.float64), k, floor, digits, types[0], types[1], skip_self)
-        part = docs.select("id", "vector", "bias").mapInArrow(run, f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double")
-        return part if out is None else out.unionByName(part)
-
-    for row in queries.orderBy("query_id").toLocalIterator():
-        ids.append(row["query_id"])
-        block.append(row["vector"])
-        if len(ids) == BLOCK_QUERIES:
-            out, ids, block = against(), [], []
-    if ids:
-        out = against()
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double")
-    return out
+    run = _score(k, floor, digits, arrow_type(id_kind), arrow_type(query_kind), skip_self)
+    return grid(queries.select("query_id", "vector"), docs.select("id", "vector", "bias"), run, f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double")
 
 
 def ranked(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -102,46 +124,29 @@ def multi_view_topk(queries: DataFrame, docs: DataFrame, weights: dict[str, floa
 def optimistic_ranks(queries: DataFrame, docs: DataFrame, answers: DataFrame, digits: int = 6) -> DataFrame:
     """(query_id, id, best_rank): 1 + the number of other documents with a strictly greater score than the known answer (query_id, id).
 
-    Documents are counted where they are read; only counts leave the tasks.
+    Documents are counted block by block; only counts leave the tasks.
     """
     from quern.functions.vectors import dot
 
-    own = answers.join(docs.select("id", F.col("vector").alias("v")), "id").join(queries, "query_id").select("query_id", "id", "vector", F.round(dot(F.col("v"), F.col("vector")), digits).alias("own"))
+    own = answers.join(docs.select("id", F.col("vector").alias("v")), "id").join(queries, "query_id").select("query_id", "vector", F.round(dot(F.col("v"), F.col("vector")), digits).alias("own"))
     kind = queries.schema["query_id"].dataType
-    arrow = pa.int64() if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string()
-
-    def counting(ids: list, q: np.ndarray, bar: np.ndarray):
-        place = {v: i for i, v in enumerate(ids)}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            better = np.zeros(len(ids), np.int64)
-            for b in batches:
-                if b.num_rows:
-                    s = np.round(_matrix(b.column("vector")) @ q.T, digits)
-                    for r, key in enumerate(b.column("id").to_pylist()):
-                        if key in place:
-                            s[r, place[key]] = -np.inf
-                    better += (s > bar[None, :]).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow), pa.array(better)], ["query_id", "better"])
-
-        return run
-
-    out, ids, block, bar = None, [], [], []
-
-    def against() -> DataFrame:
-        part = docs.select("id", "vector").mapInArrow(counting(list(ids), np.array(block, np.float64), np.array(bar)), f"query_id {kind.simpleString()}, better bigint")
-        return part if out is None else out.unionByName(part)
-
-    for row in own.orderBy("query_id").toLocalIterator():
-        ids.append(row["query_id"])
-        block.append(row["vector"])
-        bar.append(row["own"])
-        if len(ids) == BLOCK_QUERIES:
-            out, ids, block, bar = against(), [], [], []
-    if ids:
-        out = against()
-    if out is None:
-        return answers.select("query_id", "id", F.lit(1).cast("bigint").alias("best_rank")).where("false")
+    query_type = arrow_type(kind)
+
+    def counting(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = asked["query_id"].to_pylist()
+        better = np.zeros(len(names), np.int64)
+        if len(names) and held.num_rows:
+            x, q, bar = _matrix(held["vector"]), _matrix(asked["vector"]), asked["own"].to_numpy()
+            place = {v: i for i, v in enumerate(held["id"].to_pylist())}
+            for qs in _chunks(len(q), CHUNK_QUERIES):
+                for ds in _chunks(len(x), CHUNK_DOCS):
+                    better[qs] += (np.round(x[ds] @ q[qs].T, digits) > bar[None, qs]).sum(0)
+            for j, name in enumerate(names):
+                i = place.get(name)
+                better[j] -= i is not None and np.round(x[i] @ q[j], digits) > bar[j]
+        return pa.table([pa.array(names, query_type), pa.array(better)], ["query_id", "better"])
+
+    out = grid(own, docs.select("id", "vector"), counting, f"query_id {kind.simpleString()}, better bigint")
     counts = out.groupBy("query_id").agg((F.sum("better") + 1).alias("best_rank"))
     return answers.select("query_id", "id").join(counts, "query_id")
 

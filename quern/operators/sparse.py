@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.dense import ranked
-from quern.session import spread
+from quern.operators.dense import arrow_type, best_of, grid, ranked
 
 K1, B = 1.2, 0.75
 MOST_TERMS = 64
-#: Queries whose terms one task holds at a time, and documents weighed together.
-BLOCK_QUERIES, BATCH_DOCS = 2_048, 512
+#: Documents and queries weighed together.
+BATCH_DOCS, CHUNK_QUERIES = 128, 512
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -37,25 +35,45 @@ def inverse_frequency(n_docs: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.0), F.ln(1 + (n_docs - n + 0.5) / (n + 0.5)))
 
 
-def _weigh(ids: list, index: dict[str, tuple[float, np.ndarray]], avgdl: float, k: int, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for lo in range(0, len(f), BATCH_DOCS):
-                part = f.iloc[lo : lo + BATCH_DOCS]
-                keys = part["id"].tolist()
-                s = np.zeros((len(part), len(ids)))
-                for r, terms in enumerate(part["terms"]):
-                    scale = K1 * (1 - B + B * len(terms) / avgdl)
-                    for term, tf in Counter(terms).items():
-                        held = index.get(term)
-                        if held is not None:
-                            s[r, held[1]] += held[0] * tf * (K1 + 1) / (tf + scale)
-                s = np.round(s, digits)
-                n = min(k, len(part))
-                least = np.partition(s, len(part) - n, axis=0)[len(part) - n]
-                doc, query = np.nonzero((s >= least) & (s > 0))
-                if len(doc):
-                    yield pd.DataFrame({"query_id": [ids[j] for j in query], "id": [keys[i] for i in doc], "score": s[doc, query]})
+def _weigh(k: int, avgdl: float, digits: int, id_type: pa.DataType, query_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = [], [], []
+        names, ids = np.array(queries["query_id"].to_pylist(), object), np.array(docs["id"].to_pylist(), object)
+        if len(names) and len(ids):
+            asked = queries["terms"].combine_chunks()
+            of = np.repeat(np.arange(len(asked)), asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            coded = pc.dictionary_encode(asked.flatten())
+            known = {t: j for j, t in enumerate(coded.dictionary.to_pylist())}
+            term, weight = coded.indices.to_numpy(), queries["idf"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(term, kind="stable")
+            term, weight, of = term[order], weight[order], of[order]
+            first = np.searchsorted(term, np.arange(len(known) + 1))
+            for lo in range(0, len(ids), BATCH_DOCS):
+                held = docs["terms"].slice(lo, BATCH_DOCS).combine_chunks()
+                length = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                words = pc.dictionary_encode(held.flatten())
+                code = np.array([known.get(t, -1) for t in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                doc = np.repeat(np.arange(len(length)), length)[code >= 0]
+                pair, tf = np.unique(doc * (len(known) + 1) + code[code >= 0], return_counts=True)
+                doc, code = pair // (len(known) + 1), pair % (len(known) + 1)
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avgdl))
+                used, at = np.unique(code, return_inverse=True)
+                by_doc = np.zeros((len(length), len(used)))
+                by_doc[doc, at] = part
+                for qs in range(0, len(names), CHUNK_QUERIES):
+                    by_query = np.zeros((len(used), min(CHUNK_QUERIES, len(names) - qs)))
+                    for row, t in enumerate(used):
+                        at_term = slice(first[t], first[t + 1])
+                        mine = (of[at_term] >= qs) & (of[at_term] < qs + CHUNK_QUERIES)
+                        by_query[row, of[at_term][mine] - qs] = weight[at_term][mine]
+                    s = np.round(by_doc @ by_query, digits)
+                    s[s <= 0] = -np.inf
+                    d, q = best_of(s, k)
+                    found[0].append(names[qs + q])
+                    found[1].append(ids[lo + d])
+                    found[2].append(s[d, q])
+        query_ids, doc_ids, scores = (np.concatenate(x) if x else [] for x in found)
+        return pa.table([pa.array(list(query_ids), query_type), pa.array(list(doc_ids), id_type), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
 
     return run
 
@@ -65,39 +83,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, searched: DataFrame |
 
     Statistics cover all documents; ``searched`` (id) may name those that can be
     hits. A query is the set of its first 64 search terms; a document that holds
-    none of them is no hit. The queries go to the tasks in blocks of
-    BLOCK_QUERIES; documents stay where they are, and of each batch only what may
-    be among the k best of a query leaves it.
+    none of them is no hit. The inverse frequencies of the queries' terms are
+    joined to the queries; blocks of queries and of documents, tokenised once, meet
+    in a grid, and of each pair of blocks only what may be among the k best leaves it.
     """
     from quern.functions import queries as Q
 
-    spark = docs.sparkSession
     asked = queries.select("query_id", F.slice(Q.search_terms(T.content_tokens(F.col("text"))), 1, MOST_TERMS).alias("terms"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.index_terms(F.col("text")))).alias("avgdl")).first()
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    frequency = document_frequency(docs).join(wanted, "term", "left_semi")
-    pool = docs if searched is None else docs.join(searched.select("id"), "id", "left_semi")
-    words = spread(pool.select("id", T.index_terms(F.col("text")).alias("terms")), "id")
-    kinds = {c: t.simpleString() for c, t in (("q", queries.schema["query_id"].dataType), ("d", docs.schema["id"].dataType))}
-    schema = f"query_id {kinds['q']}, id {kinds['d']}, score double"
-    out, block = None, []
-
-    def against(rows: list) -> DataFrame:
-        terms = sorted({t for r in rows for t in r["terms"]})
-        of = spark.createDataFrame([(t,) for t in terms], "term string") if terms else wanted.where("false")
-        n = {r["term"]: r["n"] for r in frequency.join(of, "term", "left_semi").collect()}  # at most 64 terms a query of the block
-        places: dict[str, list[int]] = {}
-        for j, r in enumerate(rows):
-            for t in r["terms"]:
-                places.setdefault(t, []).append(j)
-        index = {t: (math.log((stats["n"] - n[t] + 0.5) / (n[t] + 0.5) + 1), np.array(at)) for t, at in places.items() if t in n}
-        part = words.mapInPandas(_weigh([r["query_id"] for r in rows], index, stats["avgdl"] or 1.0, k, digits), schema)
-        return part if out is None else out.unionByName(part)
-
-    for row in asked.orderBy("query_id").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK_QUERIES:
-            out, block = against(block), []
-    if block:
-        out = against(block)
-    return ranked(out if out is not None else spark.createDataFrame([], schema), k)
+    words = docs.select("id", T.index_terms(F.col("text")).alias("terms"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
+    wanted = asked.select("query_id", F.explode("terms").alias("term"))
+    frequency = document_frequency(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    idf = F.ln((stats["n"] - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
+    weighed = wanted.join(frequency, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("t"))  # at most 64 terms a query
+    pool = words if searched is None else words.join(searched.select("id"), "id", "left_semi")
+    query_kind, id_kind = queries.schema["query_id"].dataType, docs.schema["id"].dataType
+    run = _weigh(k, stats["avgdl"] or 1.0, digits, arrow_type(id_kind), arrow_type(query_kind))
+    schema = f"query_id {query_kind.simpleString()}, id {id_kind.simpleString()}, score double"
+    return ranked(grid(weighed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), pool, run, schema), k)
