@@ -49,6 +49,10 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "snippets"), table(spark, d, "chunk_configs"))
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.soundness(table(spark, d, "snippets"), table(spark, d, "chunk_configs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_ids(table(spark, d, "documents"))
 
@@ -69,7 +73,7 @@ def p9_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p4_found, p4_neighbours, p5_found, p5_evidence, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_masked)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p4_found, p4_neighbours, p5_found, p5_evidence, p6_found, p6_pieces, p6_sound, p7_ids, p8_found, p8_leaks, p9_found, p9_masked)}
 
 _SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WORDS = _SPACES.replace("[", "[^", 1) + "+"
@@ -94,4 +98,9 @@ ORACLES: dict[str, str] = {
       WITH current AS (SELECT id, version, content FROM snippets QUALIFY row_number() OVER (PARTITION BY id, version ORDER BY loaded_at DESC, content DESC NULLS LAST) = 1),
       counted AS (SELECT id, version, len(regexp_extract_all(content, '{_WORDS}')) AS words FROM current)
       SELECT config_name, id, version FROM counted JOIN (SELECT DISTINCT config_name, budget_tokens FROM chunk_configs) c ON budget_tokens > 0 AND words > budget_tokens""",
+    "p6_sound": rf"""
+      WITH current AS (SELECT id, version, content FROM snippets QUALIFY row_number() OVER (PARTITION BY id, version ORDER BY loaded_at DESC, content DESC NULLS LAST) = 1),
+      counted AS (SELECT id, version, len(regexp_extract_all(content, '{_WORDS}')) AS words FROM current)
+      SELECT config_name, id, version, CAST(words AS BIGINT) AS n_words, true AS within, true AS covering
+      FROM counted JOIN (SELECT DISTINCT config_name, budget_tokens FROM chunk_configs) c ON budget_tokens > 0 AND words > budget_tokens""",
 }

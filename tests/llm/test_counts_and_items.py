@@ -100,3 +100,14 @@ def test_pieces(spark):
     assert {(p["config_name"], p["id"], p["version"]) for p in got} == {("k", "a", "v1"), ("k", "a", "v2")}
     assert sorted(tuple(r) for r in splitting.oversized(df, configs).collect()) == [("k", "a", "v1"), ("k", "a", "v2")]
     assert splitting.pieces(df.where("false"), configs).count() == 0 and splitting.pieces(df, configs.where("false")).count() == 0
+
+
+def test_very_long_texts_are_cut_in_little_memory():
+    import resource
+
+    text = " ".join(f"w{k % 977}" + ("." if k % 9 == 0 else "") for k in range(1_500_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pieces = splitting.cut_points(text, 50_000, 100)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 400
+    assert pieces[0][0] == 0 and pieces[-1][1] == 1_500_000 and all(b - a <= 50_000 for a, b, *_ in pieces)
+    assert all(x[1] - y[0] == 100 for x, y in zip(pieces, pieces[1:], strict=False))
