@@ -4,11 +4,18 @@ Method: vectors are divided into shards by their nearest centroid; each shard
 holds a hierarchical navigable small-world graph as flat neighbour arrays; the
 results of the shards are merged. Centroids are fitted on a bounded sample
 (``SAMPLE`` vectors of a view, by the order of a hash of their key), every
-vector is indexed. A cell above ``SHARD`` vectors is split by a salt, and the
-queries of the cell go to all of its parts. A vector searches its own shard
-through the links its insertion made, and visits the shards of its next
-``PROBES`` centroids by beam search. Similarities of what is found are computed
-anew in double precision before they are ranked and cut.
+vector is indexed. A cell above ``SHARD`` vectors is divided again by centroids
+of its own, fitted on as large a sample of the cell, so shards keep their size
+and a vector is copied to 1 + ``PROBES`` of them however many vectors there are.
+What is still too large (about 2 billion vectors of a view) is split by a salt,
+and the queries of the shard go to all of its parts. A vector searches its own
+shard through the links its insertion made, and visits its next ``PROBES`` shards
+by beam search. Similarities of what is found are computed anew in double
+precision before they are ranked and cut.
+
+Equal vectors are indexed once. Their keys are brought in at the end: of a group
+of copies the first keys stand for all of it as neighbours, and every key of it
+gets the neighbours of its vector; so a group of any size costs no search.
 
 A shard is streamed: its vectors come first and are bounded, the visiting
 queries follow in batches, whatever their number.
@@ -38,6 +45,8 @@ SAMPLE = 20_000
 CELL = 2_000
 MOST_CELLS = 1_024
 SHARD = 8_000
+#: Vectors that look for their shards of a large cell in one task.
+VISITS = 50_000
 PROBES = 2
 LINKS = 12
 BEAM = 40
@@ -218,6 +227,63 @@ def _assign(centroids: dict[str, np.ndarray], dim: int, probes: int) -> Callable
     return run
 
 
+def _fit(dim: int, cell: int) -> Callable[[pa.Table], pa.Table]:
+    """The centroids of one cell, one after the other in an array, from its sample."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _unit(_matrix(t["vector"].combine_chunks(), dim)).astype(np.float32)
+        c = fit_centroids(x, max(1, min(len(x), -(-t["n"][0].as_py() // cell))))
+        return pa.table([t["view_name"][:1], t["cell"][:1], pa.array([c.ravel()], pa.list_(pa.float32()))], ["view_name", "cell", "centroids"])
+
+    return run
+
+
+def _divide(dim: int, probes: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The nearest centroids of a cell to the vectors that visit it, and how near they are."""
+
+    def run(visits: pa.Table, fitted: pa.Table) -> pa.Table:
+        near, sims = np.zeros(0, np.int32), np.zeros(0, np.float32)
+        k = 1
+        if visits.num_rows:
+            x = _unit(_matrix(visits["vector"].combine_chunks(), dim)).astype(np.float32)
+            c = fitted["centroids"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            k = min(probes + 1, len(c))
+            all_sims = np.concatenate([x[a : a + 4096] @ c.T for a in range(0, len(x), 4096)])
+            near = np.argsort(-all_sims, axis=1)[:, :k].astype(np.int32)
+            sims = np.take_along_axis(all_sims, near, 1).ravel()
+            near = near.ravel()
+        at = np.repeat(np.arange(visits.num_rows), k)
+        columns = [visits[c].take(at) for c in ("view_name", "hash", "cell")]
+        return pa.table([*columns, pa.array(near, pa.int32()), pa.array(sims, pa.float32())], ["view_name", "hash", "cell", "sub", "near"])
+
+    return run
+
+
+def _shards(placed: DataFrame, dim: int, probes: int) -> DataFrame:
+    """(view_name, hash, vector, probe, cell, sub): the shards of each vector, its own first."""
+    every = placed.select("view_name", "hash", "vector", F.posexplode("cells").alias("probe", "cell"))
+    sizes = placed.groupBy("view_name", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > SHARD)  # at most MOST_CELLS rows for each view
+    if large.isEmpty():
+        return every.withColumn("sub", F.lit(0))
+    held = every.join(F.broadcast(large), ["view_name", "cell"])
+    share = F.pmod(F.xxhash64(F.lit("sample"), "hash"), F.lit(1_000_000)) < 1_000_000.0 * SAMPLE / F.col("n")
+    fitted = held.where((F.col("probe") == 0) & share).groupBy("view_name", "cell").applyInArrow(_fit(dim, CELL), "view_name string, cell int, centroids array<float>")
+    fitted = checkpoint(fitted)
+    parts = F.ceil(F.col("n") / VISITS).cast("int")
+    visits = held.select("view_name", "cell", "hash", "vector", F.pmod(F.xxhash64("hash"), parts).cast("int").alias("part"))
+    copies = fitted.join(F.broadcast(large), ["view_name", "cell"]).select("view_name", "cell", "centroids", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    keys = ["view_name", "cell", "part"]
+    divided = visits.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_divide(dim, probes), "view_name string, hash string, cell int, sub int, near float")
+    # of the parts of large cells, and of small cells, the nearest; those of small cells keep their place among the cells
+    small = every.join(F.broadcast(large), ["view_name", "cell"], "left_anti").select("view_name", "hash", "cell", F.lit(0).alias("sub"), F.lit(None).cast("float").alias("near"), "probe")
+    order = every.select("view_name", "hash", "cell", "probe")
+    choice = divided.join(order, ["view_name", "hash", "cell"]).unionByName(small)
+    w = W.partitionBy("view_name", "hash").orderBy(F.when(F.col("near").isNull(), F.col("probe")).otherwise(0), F.col("near").desc_nulls_first(), "probe", "cell", "sub")
+    best = choice.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") <= probes)
+    return best.join(placed.select("view_name", "hash", "vector"), ["view_name", "hash"]).select("view_name", "hash", "vector", F.col("place").alias("probe"), "cell", "sub")
+
+
 def _pairs(dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["view_name", "query", "other", "cosine"]
 
@@ -279,33 +345,51 @@ def _pairs(dim: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def similar_pairs(rows: DataFrame, k: int = 10, least: float = 0.90, dim: int = DIM, probes: int = PROBES) -> DataFrame:
     """(view_name, query, other, cosine, rank_no): of each vector its k most similar others of the view, from ``least`` on."""
-    spark = rows.sparkSession
-    vectors = checkpoint(valid_vectors(rows, dim))
+    keyed = checkpoint(valid_vectors(rows, dim))
+    distinct = keyed.groupBy("view_name", "vector").agg(F.min("hash").alias("hash"), F.count(F.lit(1)).alias("copies"))
+    vectors = checkpoint(distinct.select("view_name", "hash", "vector", "copies"))
+    both = _indexed(vectors.drop("copies"), least, dim, probes)
+    several = vectors.where("copies > 1")
+    if not several.isEmpty():
+        # the keys of a group of copies; its first k + 1 stand for it as neighbours
+        member = several.select("view_name", "vector", F.col("hash").alias("rep")).join(keyed, ["view_name", "vector"]).select("view_name", "rep", F.col("hash").alias("key"))
+        among = W.partitionBy("view_name", "rep").orderBy("key")
+        first = member.withColumn("n", F.row_number().over(among)).where(F.col("n") <= k + 1).select("view_name", F.col("rep").alias("other"), F.col("key").alias("other_key"))
+        inside = several.select("view_name", F.col("hash").alias("query"), F.col("hash").alias("other"), F.lit(1.0).alias("cosine"))
+        of = member.select("view_name", F.col("rep").alias("query"), F.col("key").alias("query_key"))
+        wide = both.unionByName(inside).join(of, ["view_name", "query"], "left").join(first, ["view_name", "other"], "left")
+        both = wide.select("view_name", F.coalesce("query_key", "query").alias("query"), F.coalesce("other_key", "other").alias("other"), "cosine").where("query <> other")
+    w = W.partitionBy("view_name", "query").orderBy(F.col("cosine").desc(), "other")
+    return both.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
+
+
+def _indexed(vectors: DataFrame, least: float, dim: int, probes: int) -> DataFrame:
+    """(view_name, query, other, cosine) of what the graphs find among distinct vectors, from ``least`` on."""
+    spark = vectors.sparkSession
     counts = {r["view_name"]: r["n"] for r in vectors.groupBy("view_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return spark.createDataFrame([], "view_name string, query string, other string, cosine double, rank_no int")
+        return spark.createDataFrame([], "view_name string, query string, other string, cosine double")
     centroids = {}
     for view, n in sorted(counts.items()):
         sample = vectors.where(F.col("view_name") == view).orderBy(F.xxhash64("hash"), "hash").limit(SAMPLE).select("vector").toArrow()
         x = _unit(_matrix(sample.column("vector").combine_chunks(), dim)).astype(np.float32)
         centroids[view] = fit_centroids(x, max(1, min(MOST_CELLS, len(x), n // CELL)))
     placed = vectors.mapInArrow(_assign(centroids, dim, probes), "view_name string, hash string, vector array<float>, cells array<int>")
-    # how often a cell must be split; at most MOST_CELLS rows for each view
-    sizes = placed.groupBy("view_name", F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("parts"))
-    every = placed.select("view_name", "hash", "vector", F.posexplode("cells").alias("probe", "cell")).join(F.broadcast(sizes), ["view_name", "cell"])
+    every = _shards(placed, dim, probes)
+    # how often a shard must still be split: one row for each that must
+    sizes = every.where("probe = 0").groupBy("view_name", "cell", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("parts")).where("parts > 1")
+    every = every.join(sizes, ["view_name", "cell", "sub"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int")
     spread = every.withColumn("own", own).select(
-        "view_name", "hash", "vector", "cell", "probe", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
+        "view_name", "hash", "vector", "cell", "sub", "probe", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
     ).withColumn("visiting", (F.col("probe") > 0) | (F.col("salt") != F.col("own")))
     shards = (
-        spread.select("view_name", "cell", "salt", "visiting", "hash", "vector")
+        spread.select("view_name", "cell", (F.col("sub").cast("bigint") * 1_000_000 + F.col("salt")).alias("salt"), "visiting", "hash", "vector")
         .repartition(parallelism(spark), "view_name", "cell", "salt")
         .sortWithinPartitions("view_name", "cell", "salt", "visiting")
     )
     found = shards.mapInArrow(_pairs(dim, least), "view_name string, query string, other string, cosine double")
-    both = found.groupBy("view_name", "query", "other").agg(F.max("cosine").alias("cosine"))
-    w = W.partitionBy("view_name", "query").orderBy(F.col("cosine").desc(), "other")
-    return both.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
+    return found.groupBy("view_name", "query", "other").agg(F.max("cosine").alias("cosine"))
 
 
 def found_pairs(rows: DataFrame) -> DataFrame:

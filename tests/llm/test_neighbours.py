@@ -59,3 +59,18 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     got = [tuple(r) for r in neighbours.found_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert len(got) == len(set(got)) and len(want & set(got)) >= 0.97 * len(want) and not set(got) - want
     assert neighbours.found_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_cells_are_divided_again_and_copies_are_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 60)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 3)
+    monkeypatch.setattr(neighbours, "SHARD", 150)
+    monkeypatch.setattr(neighbours, "VISITS", 200)
+    x = clustered(900, 4).tolist()
+    rows = [(f"h{k:04}", "raw", v, 1, 0.5) for k, v in enumerate(x)] + [(f"c{k:04}", "raw", x[7], 1, 0.5) for k in range(300)] + [(f"d{k}", "raw", x[9], 1, 0.5) for k in range(3)]
+    want = brute(rows)
+    got = {tuple(r) for r in neighbours.found_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+    near = neighbours.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    of_copy = sorted((r["rank_no"], r["other"]) for r in near if r["query"] == "c0200")
+    assert [o for _, o in of_copy] == [f"c{k:04}" for k in range(10)]
