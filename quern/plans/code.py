@@ -103,23 +103,32 @@ def line_windows(spark, d):
     return rows.select("path", F.col("start_line").cast("bigint").alias("start_line"), "text")
 
 
+def _mentioning(spark, d, *terms):
+    """The current rows of the ids that some row of theirs makes candidates; contents without the terms are not shuffled."""
+    rows = table(spark, d, "snippets")
+    holds = F.lit(True)
+    for t in terms:
+        holds = holds & F.contains("content", F.lit(t))
+    return lineage.current_rows(rows.join(rows.where(holds).select("id", "version").distinct(), ["id", "version"], "left_semi"))
+
+
 USED, CALLED, DEFINED, BEFORE = "config", "append", "table", ("append", "write")
 
 
 def uses_lines(spark, d):
-    return lexical.uses(_current(spark, d), USED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
+    return lexical.uses(_mentioning(spark, d, USED), USED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
 
 
 def callers_lines(spark, d):
-    return lexical.callers(_current(spark, d), CALLED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
+    return lexical.callers(_mentioning(spark, d, CALLED), CALLED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
 
 
 def definitions_lines(spark, d):
-    return lexical.definitions(_current(spark, d), DEFINED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
+    return lexical.definitions(_mentioning(spark, d, DEFINED), DEFINED).select("unit", F.col("line").cast("bigint").alias("line"), "text")
 
 
 def calls_before(spark, d):
-    rows = lexical.calls_before(_current(spark, d), *BEFORE)
+    rows = lexical.calls_before(_mentioning(spark, d, *BEFORE), *BEFORE)
     return rows.select("unit", F.col("first_line").cast("bigint").alias("first_line"), F.col("second_line").cast("bigint").alias("second_line"))
 
 
@@ -208,7 +217,7 @@ def referenced_vectors(spark, d):
 
 
 def table_digest(spark, d):
-    return store.digest(_current(spark, d).select("id", "version", "content")).select("rows")
+    return store.digest(_current(spark, d).select("id", "version", "content"))
 
 
 def docs_per_term(spark, d):
@@ -340,7 +349,7 @@ ORACLES = {
     "encoded": f"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(content, '')), '[a-z]+')) AS t FROM {_LATEST}), c AS (SELECT id, CAST(('0x' || right(md5(t), 2)) AS BIGINT) % 32 AS pos, count(*) AS n FROM w GROUP BY 1, 2)
       SELECT id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM c""",
     "referenced_vectors": f"""SELECT DISTINCT hash, view_name FROM vectors WHERE (view_name, hash) IN (SELECT (e.key, e.value) FROM (SELECT unnest(map_entries(vkeys)) AS e FROM {_CUR}))""",
-    "table_digest": f"SELECT count(*) AS rows FROM {_CUR}",
+    "table_digest": f"""SELECT count(*) AS rows, CAST(sum(CAST(('0x' || left(sha256(concat_ws('|', coalesce(length(content) || ':' || content, '-'), coalesce(length(id) || ':' || id, '-'), coalesce(length(version) || ':' || version, '-'))), 15)) AS HUGEINT)) AS VARCHAR) AS digest FROM {_CUR}""",
     "docs_per_term": f"SELECT version, term, count(*) AS n FROM (SELECT version, unnest(list_distinct({sql.index_terms('enriched')})) AS term FROM {_CUR}) GROUP BY 1, 2",
     "qrels_formats": "SELECT * FROM (VALUES ('q1', 's1', 1), ('q2', 's2', 1), ('q3', 's3', 2)) AS t(query_id, id, rel)",
 }

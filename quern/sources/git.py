@@ -70,14 +70,12 @@ def read_commit(spark: SparkSession, repo: str, revision: str = "HEAD", all_lang
 
 
 def sync(spark: SparkSession, repo: str, folder: str, revision: str = "HEAD", label: str | None = None) -> dict:
-    """Index a commit under its label; a label that is there already is skipped."""
-    import os
-
+    """Index a commit under its label; a label whose build came to its end is skipped."""
     from quern.sources import files, store
 
     commit = resolve(repo, revision)
     label = label or commit[:12]
-    if os.path.exists(f"{folder}/index.json") and os.path.exists(f"{folder}/snippets/version={label}"):
+    if store.is_committed(spark, folder, label):
         return {"version": label, "skipped": True}
     good, _ = files.scan(read_commit(spark, repo, commit))
     return store.build(spark, good.select("id", "text"), folder, label, kind="repo") | {"skipped": False}

@@ -1,53 +1,79 @@
-"""The index as partitioned Parquet: builds by version, checks, export (SNK-1..3, 7, 9, 12, SRC-15, 16, VER-1)."""
+"""The index as partitioned Parquet: builds by version, checks, export, migration (SNK-1..3, 7, 9, 12, SRC-15, 16, VER-1).
 
-from __future__ import annotations
+A build writes snippets, document frequencies and vectors of its version first and
+the row of ``versions`` last. That row is the commit: readers only take versions
+that have one, so a build that dies half-way is never seen, and the next build of
+the version writes its partitions anew. The folder may lie on any file system
+Spark can reach; properties are a table of one row (``meta``).
+"""
 
-import json
-import os
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import code as C
 from quern.functions import text as T
 from quern.operators.encode import Encoder, HashingEncoder
 
-SCHEMA = "1"
+SCHEMA = "2"
 TABLES = ("snippets", "vectors", "df", "versions")
+#: Columns a schema added to snippets, with what older rows get.
+ADDED = {"2": {"lang": "''", "identifiers": "CAST(array() AS array<string>)"}}
 
 
 class NotAnIndex(ValueError):
     """The folder holds no index of this schema."""
 
 
-def _meta(folder: str) -> str:
-    return os.path.join(folder, "index.json")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def check_folder(folder: str) -> dict:
+def check_folder(spark: SparkSession, folder: str, schema: str | None = SCHEMA) -> dict:
     """The index's properties; a missing or foreign folder is an error, and nothing is created."""
-    try:
-        with open(_meta(folder)) as f:
-            meta = json.load(f)
-    except (OSError, ValueError) as e:
-        raise NotAnIndex(f"no index in {folder}") from e
-    if meta.get("schema") != SCHEMA:
-        raise NotAnIndex(f"the index in {folder} has schema {meta.get('schema')}, not {SCHEMA}: rebuild it")
+    if not exists(spark, f"{folder}/meta/_SUCCESS"):
+        raise NotAnIndex(f"no index in {folder}")
+    meta = spark.read.parquet(f"{folder}/meta").first().asDict()
+    if schema is not None and meta["schema"] != schema:
+        raise NotAnIndex(f"the index in {folder} has schema {meta['schema']}, not {schema}: migrate it")
     return meta
 
 
+def _write_meta(spark: SparkSession, folder: str, meta: dict) -> None:
+    spark.createDataFrame([meta], "schema string, encoder string, kind string, views array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """(version, built_at, snippets) of the versions whose build came to its end."""
+    return spark.read.schema("built_at timestamp, snippets bigint, version string").parquet(f"{folder}/versions")
+
+
+def is_committed(spark: SparkSession, folder: str, version: str) -> bool:
+    return exists(spark, f"{folder}/versions") and not committed(spark, folder).where(F.col("version") == version).isEmpty()
+
+
 def build(
     spark: SparkSession, corpus: DataFrame, folder: str, version: str, kind: str = "", views: tuple[str, ...] = ("nl", "code"),
     encoder: Encoder | None = None, chunking: T.Chunking = T.Chunking(), reset: bool = False,
 ) -> dict:
     """Write one version of corpus (id, text): that version's partitions are replaced, others stay; vectors are made of new texts only."""
     encoder = encoder or HashingEncoder()
-    if not reset and os.path.exists(folder):
-        known = check_folder(folder) if os.path.exists(_meta(folder)) else {}
-    else:
-        known = {}
-    os.makedirs(folder, exist_ok=True)
+    if reset:
+        _delete(spark, folder)
+    known = check_folder(spark, folder) if exists(spark, f"{folder}/meta") else {}
     same_encoder = known.get("encoder") == encoder.signature
+    if not known or not same_encoder:
+        _write_meta(spark, folder, {"schema": SCHEMA, "encoder": encoder.signature, "kind": kind, "views": list(views)})
+    if exists(spark, f"{folder}/versions"):
+        _delete(spark, f"{folder}/versions/version={version}")  # what is written from here on is not seen before its row is back
     p = C.parsed(F.col("text"))
     rows = corpus.withColumn("p", p).withColumn("category", C.category(F.col("p")))
     rows = rows.withColumn("doc", C.enriched(F.col("text"), F.col("p"))).withColumn("views", C.views(F.col("text"), F.col("p"), F.col("category"), F.col("doc"), views))
@@ -65,7 +91,7 @@ def build(
     texts = keyed.select(F.explode("views").alias("view_name", "v")).select("view_name", F.explode(T.chunks(F.col("v"), chunking)).alias("piece"), "v")
     texts = texts.select("view_name", T.vector_key(T.chunks(F.col("v"), chunking)).alias("hash"), F.array_join(T.chunks(F.col("v"), chunking), "\n").alias("t")).dropDuplicates(["view_name", "hash"])
     reused = 0
-    if same_encoder and os.path.exists(f"{folder}/vectors"):
+    if same_encoder and exists(spark, f"{folder}/vectors"):
         have = spark.read.parquet(f"{folder}/vectors").select("view_name", "hash")
         total = texts.count()
         texts = texts.join(have, ["view_name", "hash"], "left_anti")
@@ -76,17 +102,29 @@ def build(
     vectors.write.mode("append" if same_encoder else "overwrite").partitionBy("view_name").parquet(f"{folder}/vectors")
     stamp = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"), F.lit(n).cast("bigint").alias("snippets"))
     stamp.write.mode("overwrite").options(**mode).partitionBy("version").parquet(f"{folder}/versions")
-    with open(_meta(folder), "w") as f:
-        json.dump({"schema": SCHEMA, "encoder": encoder.signature, "kind": kind, "views": list(views)}, f)
     verify(spark, folder, version)
     return {"version": version, "snippets": n, "new_vectors": made, "reused_vectors": reused}
 
 
+def migrate(spark: SparkSession, folder: str, out: str) -> dict:
+    """A copy of an index of an older schema in the present one: its snippets get the columns that were added since."""
+    meta = check_folder(spark, folder, None)
+    snippets = spark.read.parquet(f"{folder}/snippets")
+    for schema, columns in sorted(ADDED.items()):
+        if meta["schema"] < schema:
+            snippets = snippets.withColumns({c: F.expr(value) for c, value in columns.items() if c not in snippets.columns})
+    snippets.write.mode("errorifexists").partitionBy("version").parquet(f"{out}/snippets")
+    for name, part in (("df", "version"), ("vectors", "view_name"), ("versions", "version")):
+        spark.read.parquet(f"{folder}/{name}").write.mode("errorifexists").partitionBy(part).parquet(f"{out}/{name}")
+    _write_meta(spark, out, meta | {"schema": SCHEMA})
+    return check_folder(spark, out)
+
+
 def verify(spark: SparkSession, folder: str, version: str) -> int:
     """Rows of a version on disk against the number it was built with."""
-    check_folder(folder)
+    check_folder(spark, folder)
     n = spark.read.parquet(f"{folder}/snippets").where(F.col("version") == version).count()
-    said = spark.read.parquet(f"{folder}/versions").where(F.col("version") == version).select("snippets").collect()
+    said = committed(spark, folder).where(F.col("version") == version).select("snippets").collect()
     if not said or said[0][0] != n:
         raise ValueError(f"version {version}: {n} snippets on disk, {said[0][0] if said else 'none'} recorded")
     return n
@@ -94,10 +132,12 @@ def verify(spark: SparkSession, folder: str, version: str) -> int:
 
 def load(spark: SparkSession, folder: str, versions: str | list[str] = "latest") -> tuple[DataFrame, DataFrame]:
     """(snippets, vectors) of the latest version by build time, of named ones, or of all."""
-    check_folder(folder)
-    snippets, vectors = spark.read.parquet(f"{folder}/snippets"), spark.read.parquet(f"{folder}/vectors")
+    check_folder(spark, folder)
+    done = committed(spark, folder)
+    snippets = spark.read.parquet(f"{folder}/snippets").join(F.broadcast(done.select("version")), "version", "left_semi")  # a row for each build
+    vectors = spark.read.parquet(f"{folder}/vectors").dropDuplicates(["view_name", "hash"])
     if versions == "latest":
-        last = spark.read.parquet(f"{folder}/versions").orderBy(F.col("built_at").desc(), F.col("version").desc()).limit(1).collect()
+        last = done.orderBy(F.col("built_at").desc(), F.col("version").desc()).limit(1).collect()
         versions = [r["version"] for r in last]
     if versions != "all":
         snippets = snippets.where(F.col("version").isin(*([versions] if isinstance(versions, str) else versions)))
@@ -123,10 +163,15 @@ def export(spark: SparkSession, folder: str, out: str) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """(rows, digest) of a table, whatever the order of its rows and files."""
-    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)
-    value = F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(value).cast("string").alias("digest"))
+    """(rows, digest) of a table, whatever the order of its rows and files: the sum of a hash of each row's values, each with its length."""
+
+    def value(field) -> Column:
+        plain = F.col(field.name).cast("string") if field.dataType.typeName() not in ("array", "map", "struct") else F.to_json(field.name)
+        return F.coalesce(F.concat(F.length(plain).cast("string"), F.lit(":"), plain), F.lit("-"))
+
+    line = F.sha2(F.concat_ws("|", *[value(rows.schema[c]) for c in sorted(rows.columns)]), 256)
+    number = F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(number).cast("string").alias("digest"))
 
 
 def recheck(spark: SparkSession, folder: str, encoder: Encoder, n: int = 100, seed: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime
 import json
 import subprocess
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,52 @@ def test_store(spark, tmp_path):
     assert all(r["cosine"] >= 0.9999 for r in store.recheck(spark, folder, HashingEncoder()).collect())
 
 
+def test_a_build_that_dies_is_not_seen(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "index")
+    rows = spark.createDataFrame([("a", PY), ("b", JS)], "id string, text string")
+    store.build(spark, rows, folder, "v1")
+    monkeypatch.setattr(store.T, "vector_key", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.build(spark, rows, folder, "v2")
+    monkeypatch.undo()
+    rows.select("id", F.lit("v2").alias("version"), F.lit("x").alias("content")).write.mode("append").partitionBy("version").parquet(f"{folder}/snippets")  # what a build leaves that dies later
+    assert {r["version"] for r in store.load(spark, folder, "all")[0].collect()} == {"v1"} and not store.is_committed(spark, folder, "v2")
+    store.build(spark, rows, folder, "v2")
+    assert store.load(spark, folder, "v2")[0].count() == 2
+
+
+def test_migration(spark, tmp_path):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    store.build(spark, spark.createDataFrame([("a", PY)], "id string, text string"), old, "v1")
+    bare = spark.createDataFrame(spark.read.parquet(f"{old}/snippets").drop("lang", "identifiers").toArrow())
+    bare.write.mode("overwrite").partitionBy("version").parquet(f"{old}/snippets")
+    store._write_meta(spark, old, {"schema": "1", "encoder": "e", "kind": "", "views": ["nl"]})
+    with pytest.raises(store.NotAnIndex, match="migrate"):
+        store.load(spark, old)
+    assert store.migrate(spark, old, new)["schema"] == store.SCHEMA
+    row = store.load(spark, new)[0].first()
+    assert row["id"] == "a" and row["lang"] == "" and row["identifiers"] == []
+
+
+def test_trees_are_pruned_and_links_left_out(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "src").mkdir(parents=True)
+    (root / "node_modules").mkdir()
+    (root / "src/a.py").write_text(PY)
+    (root / "node_modules/b.py").write_text(PY)
+    (root / "src/big.py").write_text("x = 1\n" * 100_000)
+    (tmp_path / "outside.py").write_text(PY)
+    (root / "src/link.py").symlink_to(tmp_path / "outside.py")
+    rows = {r["path"]: r["reason"] for r in files.classified(files.read_tree(spark, str(root))).collect()}
+    assert rows == {"src/a.py": None, "src/big.py": "too large (generated)"}
+
+
+def test_extraction_keeps_the_order_of_a_file(monkeypatch):
+    monkeypatch.setattr(files, "snippets_of", lambda p, s: iter([("x", p, "f", 1, "a long first text"), ("x", p, "f", 1, "last")]))
+    (got,) = files._extract(iter([pd.DataFrame({"path": ["p.py"], "content": ["c"], "digest": ["d"]})]))
+    assert got["at"].tolist() == [0, 1] and got["text"].tolist()[1] == "last"  # of equal ids the greatest place is kept
+
+
 def test_encode_with_cache(spark, tmp_path):
     texts = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, None), (4, "gamma")], "id int, text string")
     cache = encode_into(spark, texts, HashingEncoder(8), str(tmp_path / "cache"), 4)
