@@ -151,14 +151,19 @@ def optimistic_ranks(queries: DataFrame, docs: DataFrame, answers: DataFrame, di
     return answers.select("query_id", "id").join(counts, "query_id")
 
 
-def adaptive(first: DataFrame, second: DataFrame, low: float = 0.01, k: int = 10) -> DataFrame:
-    """Rankings in which queries of a low margin take the mean of both passes; inputs (query_id, id, score)."""
+def adaptive(queries: DataFrame, docs: DataFrame, low: float = 0.01, k: int = 10, floor: float | None = 0.0, skip_self: bool = False) -> DataFrame:
+    """(query_id, id, score, rank_no) by the vectors, and for queries of a low margin by the mean over both passes.
+
+    queries (query_id, vector, second), docs (id, vector, second). The mean over all
+    documents is one product of the vectors set one behind the other, so a second pass
+    sees every document, whatever the first put on its list; a query without two hits keeps the first pass.
+    """
     from quern.operators.hits import margins
 
-    unsure = margins(ranked(first, 2)).where(F.col("margin") < low).select("query_id")
-    kept = first.join(unsure, "query_id", "left_anti")
-    both = (
-        first.unionByName(second).join(unsure, "query_id", "left_semi")
-        .groupBy("query_id", "id").agg((F.sum("score") / 2).alias("score"))
-    )
-    return ranked(kept.select("query_id", "id", "score").unionByName(both), k)
+    rows = docs.withColumn("bias", F.lit(0.0))
+    first = ranked(scored(queries, rows, k + 1, floor, skip_self=skip_self), max(k, 2))
+    unsure = margins(first.where("rank_no <= 2")).where(F.col("margin") < low).select("query_id")
+    kept = first.where(F.col("rank_no") <= k).join(unsure, "query_id", "left_anti").select("query_id", "id", "score", "rank_no")
+    asked = queries.join(unsure, "query_id", "left_semi").select("query_id", F.concat(F.transform("vector", lambda x: x * 0.5), F.transform("second", lambda x: x * 0.5)).alias("vector"))
+    both = rows.select("id", F.concat("vector", "second").alias("vector"), "bias")
+    return kept.unionByName(ranked(scored(asked, both, k, floor, skip_self=skip_self), k))

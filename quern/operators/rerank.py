@@ -88,9 +88,9 @@ def features(shortlist: DataFrame, docs: DataFrame, queries: DataFrame, idf: Dat
     kinds = {c: shortlist.schema[c].dataType.simpleString() for c in ("query_id", "id", "rank_no")}
     names = ("coverage", "idf_coverage", "phrase", "proximity", "head")
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", " + ", ".join(f"{c} double" for c in names)
-    found = rows.select("query_id", "id", "rank_no", "d", "h", "q", F.map_keys("w").alias("wk"), F.map_values("w").alias("wv")).mapInPandas(_features, schema)
+    found = rows.select("query_id", "id", "rank_no", "d", "h", "q", F.map_keys("w").alias("wk"), F.map_values("w").alias("wv")).mapInPandas(_features, schema).withColumns({c: F.round(c, 6) for c in names})
     inter = w.coverage * F.col("coverage") + w.idf_coverage * F.col("idf_coverage") + w.phrase * F.col("phrase") + w.proximity * F.col("proximity") + w.head * F.col("head")
-    return found.withColumn("interaction", F.round(inter, 6))
+    return found.withColumn("interaction", F.round(F.round(inter, 9), 6))  # the noise of the sum goes first, so that ties are rounded alike everywhere
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +114,7 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 len(matched) / len(terms), sum(weight.get(t, 0.0) for t in matched) / total, min(1.0, pairs / 3.0), _nearest(d, set(matched)),
                 sum(t in heads for t in terms) / len(terms),
             ))
-        values = pd.DataFrame(out, columns=["coverage", "idf_coverage", "phrase", "proximity", "head"], dtype="float64").round(6)
+        values = pd.DataFrame(out, columns=["coverage", "idf_coverage", "phrase", "proximity", "head"], dtype="float64")
         for at, c in enumerate(("query_id", "id", "rank_no")):
             values.insert(at, c, f[c].tolist())
         yield values

@@ -133,9 +133,9 @@ def hub_share(spark, d):
 
 
 def hub_table(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    hubs = docs.select(F.col("doc_id").alias("id"), F.round(F.length("text") / 1000.0, 6).alias("hub"))
-    return hub.hub_table(docs.select(F.col("doc_id").alias("id"), "text"), hubs)
+    """Documents and vectors are paired by number: the hubs of the vectors by the text they are paired with."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
+    return hub.hub_table(docs, hub_scores(spark, d))
 
 
 def _halves(spark, d):
@@ -152,8 +152,12 @@ def rrf_fuse(spark, d):
 
 
 def adaptive_second_pass(spark, d):
-    first, second = ([x.select("query_id", "id", "score") for x in _halves(spark, d)])
-    return dense.adaptive(first, second, 0.02).select("query_id", "id", F.round("score", 6).alias("score"), "rank_no")
+    """The first half of the components, and the mean with the second half where the first leaves little margin."""
+    def halves(rows, key):
+        part = lambda a, n: F.transform(F.slice("vector", a, n), lambda x: x.cast("double"))
+        return rows.select(key, part(1, 32).alias("vector"), part(33, 32).alias("second"))
+
+    return dense.adaptive(halves(_queries(spark, d), "query_id"), halves(_docs(spark, d), "id"), 0.02, skip_self=True)
 
 
 def optimistic_rank(spark, d):
@@ -190,7 +194,7 @@ def _features(spark, d):
 
 
 def rerank_features(spark, d):
-    return _features(spark, d).select("query_id", "id", "coverage", F.round("idf_coverage", 4).alias("idf_coverage"), "phrase", "head")
+    return _features(spark, d).select("query_id", "id", "coverage", F.round("idf_coverage", 4).alias("idf_coverage"), "phrase", "proximity", "head", "interaction")
 
 
 def rerank_topk(spark, d):
@@ -378,6 +382,22 @@ _DRAWS = """p AS (SELECT system, score, row_number() OVER (PARTITION BY system O
       ci AS (SELECT w.system, n, round(m, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high FROM (SELECT system, count(*) AS n, avg(score) AS m FROM v GROUP BY 1) w
         JOIN (SELECT system, max(mean) FILTER (place = 2) AS lo, max(mean) FILTER (place = 97) AS hi FROM o GROUP BY 1) USING (system))"""
 
+_FEATURES = _BM25 + f""", short AS {_top('scores', 20)},
+      w AS (SELECT term, round(greatest(0, ln(1 + (n_docs - n + 0.5) / (n + 0.5))), 6) AS idf FROM n, s),
+      q1 AS (SELECT item_id AS query_id, list_filter(c, lambda y, i: length(y) > 1 AND list_position(c, y) = i) AS q FROM (SELECT item_id, {sql.content_tokens('text')} AS c FROM {sql.ITEMS} WHERE text IS NOT NULL)),
+      qt AS (SELECT query_id, unnest(q) AS term FROM q1), total AS (SELECT query_id, sum(coalesce(idf, 0)) AS total_t FROM qt LEFT JOIN w USING (term) GROUP BY 1),
+      hit AS (SELECT s.query_id, s.id, sum(coalesce(idf, 0)) AS m, count(*) AS k FROM short s JOIN qt USING (query_id) JOIN tf ON tf.id = s.id AND tf.term = qt.term LEFT JOIN w ON w.term = qt.term GROUP BY 1, 2),
+      grams AS (SELECT query_id, list_distinct(list_transform(range(1, len(q)), lambda i: q[i] || '_' || q[i + 1])) AS g FROM q1),
+      heads AS (SELECT doc_id AS id, {sql.index_terms("array_to_string(regexp_split_to_array(text, chr(13) || chr(10) || '|[' || chr(10) || chr(11) || chr(12) || chr(13) || '" + chr(92) + "x{85}" + chr(92) + "x{2028}" + chr(92) + "x{2029}]')[1:6], chr(10))")} AS h FROM documents WHERE text IS NOT NULL),
+      places AS (SELECT s.query_id, s.id, i, t[i] AS term FROM (SELECT s.query_id, s.id, d.t, unnest(range(1, len(d.t) + 1)) AS i FROM short s JOIN d ON d.id = s.id) s JOIN qt ON qt.query_id = s.query_id AND qt.term = s.t[s.i]),
+      reach AS (SELECT query_id, id, i, min(last) AS oldest, count(*) AS terms FROM (SELECT a.query_id, a.id, a.i, b.term, max(b.i) AS last FROM places a JOIN places b ON a.query_id = b.query_id AND a.id = b.id AND b.i <= a.i GROUP BY ALL) GROUP BY ALL),
+      near AS (SELECT r.query_id, r.id, count(*) AS n_places, min(i - oldest + 1) FILTER (terms = k) AS best, any_value(k) AS k FROM reach r JOIN hit USING (query_id, id) GROUP BY 1, 2),
+      parts AS (SELECT s.query_id, s.id, s.rank_no, round(hit.k / len(q), 6) AS coverage, round(hit.m / CASE WHEN total_t = 0 THEN 1 ELSE total_t END, 6) AS idf_coverage,
+        round(least(1.0, len(list_filter(list_transform(range(1, len(d.t)), lambda i: d.t[i] || '_' || d.t[i + 1]), lambda x: list_contains(g, x))) / 3.0), 6) AS phrase,
+        round(CASE WHEN n_places = 1 THEN 1.0 WHEN near.k < 2 THEN 0.5 ELSE near.k / greatest(near.k, best) END, 6) AS proximity, round(len(list_intersect(q, h)) / len(q), 6) AS head
+        FROM short s JOIN hit USING (query_id, id) JOIN near USING (query_id, id) JOIN q1 USING (query_id) JOIN total USING (query_id) JOIN d ON d.id = s.id JOIN grams USING (query_id) JOIN heads ON heads.id = s.id),
+      feats AS (SELECT *, CAST(round(CAST(round(0.5 * coverage + idf_coverage + 0.35 * phrase + 0.25 * proximity + 0.3 * head, 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS interaction FROM parts)"""
+
 ORACLES = {
     "dense_topk": _RUN + " SELECT query_id, id, score, rank_no FROM run",
     "dense_views": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT}, 6) AS a, round(1.5 * {sql.dot('q.embedding[1:32]', 'v.embedding[1:32]')}, 6) AS b FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0),
@@ -407,7 +427,20 @@ ORACLES = {
       FROM sim a JOIN sim b ON a.label < 5 AND b.label >= 5""",
     "hub_share": _RUN + """, c AS (SELECT id, count(*) AS n FROM run WHERE rank_no = 1 AND NOT good GROUP BY 1)
       SELECT round(coalesce(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n), 0), 6) AS share, arg_max(id, (n, id)) AS top_hub FROM c""",
-    "hub_table": "SELECT sha256(text) AS text_hash, round(avg(round(length(text) / 1000.0, 6)), 6) AS hub, count(*) AS ids, false AS conflicting FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "hub_table": _HUB + """ SELECT sha256(text) AS text_hash, round(avg(hub), 6) AS hub, count(*) AS ids, max(hub) - min(hub) > 1e-6 AS conflicting FROM documents JOIN hubs ON doc_id = id WHERE text IS NOT NULL GROUP BY 1""",
+    "hub_sweep": f"""WITH near AS (SELECT v.vec_id AS id, round({_DOT}, 6) AS s, row_number() OVER (PARTITION BY v.vec_id ORDER BY round({_DOT}, 6) DESC, q.vec_id) AS r FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0),
+      hubs AS (SELECT k, id, round(avg(s), 6) AS hub FROM near, (VALUES (1), (5)) t(k) WHERE r <= k GROUP BY 1, 2),
+      pairs AS (SELECT k, CAST(beta AS DOUBLE) AS beta, q.vec_id AS query_id, v.vec_id AS id, round({_DOT} - CAST(beta AS DOUBLE) * hub, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 JOIN hubs ON hubs.id = v.vec_id, (VALUES (0.5), (1.0)) b(beta))
+      SELECT k, beta, query_id, id, score, rank_no FROM {_top("pairs", 5, "k, beta, query_id")}""",
+    "adaptive_second_pass": f"""WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {sql.dot('q.embedding[1:32]', 'v.embedding[1:32]')} AS a, {sql.dot('q.embedding[33:64]', 'v.embedding[33:64]')} AS b FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+      r AS (SELECT query_id, round(a, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(a, 6) DESC, id) AS n FROM pairs WHERE round(a, 6) > 0),
+      m AS (SELECT query_id, max(s) FILTER (n = 1) - max(s) FILTER (n = 2) AS margin FROM r WHERE n <= 2 GROUP BY 1),
+      scores AS (SELECT query_id, id, round(CASE WHEN margin < 0.02 THEN (a + b) / 2 ELSE a END, 6) AS score FROM pairs LEFT JOIN m USING (query_id))
+      SELECT query_id, id, score, rank_no FROM {_top("(SELECT * FROM scores WHERE score > 0)", 10)}""",
+    "validated_sample": """WITH f AS (SELECT event_type AS system, round(avg(value), 6) AS f FROM events GROUP BY 1), s AS (SELECT event_type AS system, round(avg(value), 6) AS s FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+      p AS (SELECT system, f, coalesce(s, 0) AS s, row_number() OVER (ORDER BY f DESC, system) AS a, row_number() OVER (ORDER BY coalesce(s, 0) DESC, system) AS b FROM f LEFT JOIN s USING (system)),
+      t AS (SELECT count(*) FILTER (x.b < y.b) AS c, count(*) FILTER (x.b > y.b) AS d FROM p x JOIN p y ON x.a < y.a)
+      SELECT bool_and(a = b) AND max(abs(f - s)) <= 5 AS preserved, round(max(abs(f - s)), 6) AS max_delta, (SELECT round(coalesce((c - d) / nullif(c + d, 0), 1.0), 6) FROM t) AS tau FROM p""",
     "rrf_fuse": f"""WITH u AS (SELECT query_id, id, 1.0 / (60 + rank_no) AS p FROM {_half('first')} UNION ALL SELECT query_id, id, 0.5 / (60 + rank_no) FROM {_half('second')}),
       s AS (SELECT query_id, id, round(sum(CAST(p AS DOUBLE)), 9) AS score FROM u GROUP BY 1, 2) SELECT query_id, id, score, rank_no FROM {_top("s", 10)}""",
     "optimistic_rank": f"""WITH {_PAIRS}, own AS (SELECT query_id, min(id) AS id FROM pairs WHERE good GROUP BY 1)
@@ -415,18 +448,8 @@ ORACLES = {
     "doc_freq": f"WITH {_TERMS} SELECT term, count(DISTINCT id) AS n FROM p GROUP BY 1",
     "idf": f"WITH {_TERMS} SELECT term, round(greatest(0, ln(1 + ((SELECT count(*) FROM d) - count(DISTINCT id) + 0.5) / (count(DISTINCT id) + 0.5))), 6) AS idf FROM p GROUP BY 1",
     "bm25_topk": _BM25 + f" SELECT query_id, id, score, rank_no FROM {_top('scores', 10)}",
-    "rerank_features": _BM25 + f""", short AS {_top('scores', 20)},
-      w AS (SELECT term, round(greatest(0, ln(1 + (n_docs - n + 0.5) / (n + 0.5))), 6) AS idf FROM n, s),
-      q1 AS (SELECT item_id AS query_id, list_distinct(list_filter(c, lambda y: length(y) > 1)) AS q, list_filter(c, lambda y: length(y) > 1) AS qo FROM (SELECT item_id, {sql.content_tokens('text')} AS c FROM {sql.ITEMS} WHERE text IS NOT NULL)),
-      qt AS (SELECT query_id, unnest(q) AS term FROM q1), total AS (SELECT query_id, sum(coalesce(idf, 0)) AS t FROM qt LEFT JOIN w USING (term) GROUP BY 1),
-      hit AS (SELECT s.query_id, s.id, sum(coalesce(idf, 0)) AS m, count(*) AS k FROM short s JOIN qt USING (query_id) JOIN tf ON tf.id = s.id AND tf.term = qt.term LEFT JOIN w ON w.term = qt.term GROUP BY 1, 2),
-      order1 AS (SELECT query_id, list_filter(qo, lambda y, i: list_position(qo, y) = i) AS t FROM q1),
-      grams AS (SELECT query_id, list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS g FROM order1),
-      heads AS (SELECT doc_id AS id, {sql.index_terms("array_to_string(regexp_split_to_array(text, chr(13) || chr(10) || '|[' || chr(10) || chr(11) || chr(12) || chr(13) || '\\x{85}\\x{2028}\\x{2029}]')[1:6], chr(10))")} AS h FROM documents WHERE text IS NOT NULL)
-      SELECT s.query_id, s.id, round(k / len(q), 6) AS coverage, round(round(m / CASE WHEN t = 0 THEN 1 ELSE t END, 6), 4) AS idf_coverage,
-        round(least(1.0, len(list_filter(list_transform(range(1, len(d.t)), lambda i: d.t[i] || '_' || d.t[i + 1]), lambda x: list_contains(g, x))) / 3.0), 6) AS phrase,
-        round(len(list_intersect(q, h)) / len(q), 6) AS head
-      FROM short s JOIN hit USING (query_id, id) JOIN q1 USING (query_id) JOIN (SELECT query_id, t FROM total) USING (query_id) JOIN d ON d.id = s.id JOIN grams USING (query_id) JOIN heads ON heads.id = s.id""".replace("round(m / CASE WHEN t = 0", "round(m / CASE WHEN total_t = 0").replace("ELSE t END, 6)", "ELSE total_t END, 6)").replace("(SELECT query_id, t FROM total)", "(SELECT query_id, t AS total_t FROM total)"),
+    "rerank_features": _FEATURES + " SELECT query_id, id, coverage, round(idf_coverage, 4) AS idf_coverage, phrase, proximity, head, interaction FROM feats",
+    "rerank_topk": _FEATURES + f", scores1 AS (SELECT query_id, id, round(1.0 / (1.0 + (rank_no - 1) / 10.0) + interaction, 6) AS score FROM feats) SELECT query_id, id, score, rank_no FROM {_top('scores1', 10)}",
     "rankings_csv": _RUN + " SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS corpus_id, rank_no AS rank, printf('%.6f', score) AS score FROM run",
     "prediction_ranks": f"WITH {_BEST} SELECT query_id, id, score, rank_no FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank_no FROM best) WHERE rank_no <= 10",
     "file_ranks": f"""WITH {_BEST}, f AS (SELECT query_id, split_part(id, '::', 1) AS path, min(rank_no) AS first_rank FROM {_top("best", 100)} GROUP BY 1, 2)
