@@ -274,6 +274,11 @@ _HIST = f"""cur AS (SELECT id, version, content, {sql.HASH} AS h, regexp_replace
       hist AS (SELECT l.*, ord, coalesce(lag(h) OVER w <> h, false) AS changed FROM lin l JOIN {sql.ORDERED} USING (version) WINDOW w AS (PARTITION BY lineage ORDER BY ord, id))"""
 
 
+def _once(items: str) -> str:
+    """A list's first occurrences, in order."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
 def _kind() -> str:
     def names(x: str) -> str:
         return f"list_distinct(list_concat(list_transform({x}, lambda y: lower(y)), flatten(list_transform({x}, lambda x: {sql.parts('x')}))))"
@@ -354,6 +359,65 @@ ORACLES = {
     "qrels_formats": "SELECT * FROM (VALUES ('q1', 's1', 1), ('q2', 's2', 1), ('q3', 's3', 2)) AS t(query_id, id, rel)",
 }
 
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIPLE = r'(?s)"{3}.*?"{3}|' + "(?:''){3}.*?(?:''){3}"
+_QUOTED = "|".join(rf"{q}(?:[^{q}\\\n]|\\.){{2,200}}{q}" for q in ("''", '"', "`"))
+_LIT = r'"(?:[^"\\\n]|\\.)*"|' + r"''(?:[^''\\\n]|\\.)*''"
+
+
+def _clean(items: str) -> str:
+    return f"list_filter(list_transform({items}, lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
+
+
+def _parts(names: str) -> str:
+    return f"flatten(list_transform({names}, lambda x: {sql.parts('x')}))"
+
+
+def _line(items: str, by: str = " ") -> str:
+    return f"array_to_string({items}, '{by}')"
+
+
+_EVERY = rf"""{_CALLS}, b AS (SELECT c.*, {_BARE} AS body FROM c),
+      fields AS (SELECT id, version, content, l, names, class_names, calls, {_control()} AS control,
+        CASE l WHEN 'python' THEN list_transform(regexp_extract_all(content, '(?m)^\s*(?:async\s+)?def\s+[A-Za-z_]\w*\s*\([^)]*\)[^:]*:'), lambda s: regexp_replace(s, '^\s+|:+$', '', 'g'))
+          WHEN 'javascript' THEN list_transform(regexp_extract_all(content, '\bfunction\s+[A-Za-z_$][\w$]*\s*\([^)]*\)'), lambda s: trim(s)) ELSE [] END AS signatures,
+        CASE l WHEN 'python' THEN list_transform(regexp_extract_all(content, '(?m)^\s*(?:from\s+[\w.]+\s+import|import\s+[\w.]+)'), lambda s: regexp_extract(s, '(?:from|import)\s+([\w.]+)', 1))
+          WHEN 'javascript' THEN list_concat(regexp_extract_all(content, 'require\s*\(\s*["'']([^"'']+)["'']\s*\)', 1), regexp_extract_all(content, '\bfrom\s+["'']([^"'']+)["'']', 1)) ELSE [] END AS imports,
+        CASE l WHEN 'python' THEN list_concat({_clean(f"list_transform(regexp_extract_all(content, '{_TRIPLE}'), lambda x: x[4:-4])")}, {_clean(r"regexp_extract_all(content, '(?m)^\s*#\s?(.+)$', 1)")})
+          WHEN 'javascript' THEN list_concat({_clean(r"regexp_extract_all(content, '(?m)^\s*//\s?(.+)$', 1)")},
+            {_clean(r"list_transform(flatten(list_transform(regexp_extract_all(content, '(?s)/\*\*(.*?)\*/', 1), lambda b: regexp_split_to_array(b, '" + _BREAK.replace(r"\x1c-\x1e", "") + r"'))), lambda x: regexp_replace(x, '^\s*\*\s?', ''))")}) ELSE [] END AS docstrings,
+        list_filter(list_transform(regexp_extract_all(CASE l WHEN 'python' THEN regexp_replace(content, '{_TRIPLE}', '""', 'g') ELSE content END, '{_LIT}'), lambda x: trim(x[2:-2], ' ')), lambda x: length(x) BETWEEN 2 AND 199) AS strings
+        FROM b)"""
+_KIND = f"kinds AS (SELECT *, {_kind()} AS kind FROM fields)"
+
+
+def _joined(parts: list[str], by: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: trim(x, ' ') <> ''), {by})"
+
+
+_TEXT = _joined(
+    [_line("names"), _line(_parts("list_concat(names, class_names)")), _line("signatures"), _line("docstrings"), _line(f"list_concat({_once('calls')}, {_parts(_once('calls'))})"), _line("strings[1:40]"), "control", _line("imports"), "content"], "chr(10)",
+)
+_NL = _joined(
+    [
+        _line("names"), _line(_once(_parts("list_concat(names, class_names)"))), _line("signatures[1:4]"), _line("docstrings[1:6]"), "control",
+        f"CASE WHEN len({_once('calls')}) > 0 AND len({_parts(_once('calls') + '[1:25]')}) > 0 THEN 'uses ' || {_line(_once(_parts(_once('calls') + '[1:25]')))} ELSE '' END", _line("strings[1:10]"), "'a ' || replace(kind, '_', ' ') || ' routine'",
+    ], "'. '",
+)
+_STRIP = r"regexp_replace({}, '^[\s\x{{0b}}]+|[\s\x{{0b}}]+$', '', 'g')"
+ORACLES |= {
+    "parse_docs": f"WITH {_EVERY} SELECT id, version, array_to_string(docstrings, '|') AS docstrings, array_to_string(strings, '|') AS strings FROM fields",
+    "enriched": f"WITH {_EVERY} SELECT id, version, coalesce(nullif({_TEXT}, ''), content) AS enriched, array_to_string({_once('list_concat(list_concat(names, class_names), calls)')}, ' ') AS identifiers FROM fields",
+    "views": f"""WITH {_EVERY}, {_KIND}, v AS (SELECT id, version, 'nl' AS view_name, {_NL} AS "view" FROM kinds UNION ALL
+        SELECT id, version, 'code', coalesce(nullif({_STRIP.format("array_to_string(signatures[1:4], ' ') || chr(10) || content")}, ''), content) FROM kinds UNION ALL SELECT id, version, 'raw', {_STRIP.format('content')} FROM kinds)
+      SELECT * FROM v WHERE trim("view", ' ') <> ''""",
+    "vocabulary": rf"""WITH n AS (SELECT unnest(regexp_extract_all(content, '[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*')) AS name, 'identifier' AS kind FROM {_CUR} UNION ALL
+        SELECT unnest(list_transform(regexp_extract_all(content, '{_QUOTED}'), lambda x: x[2:-2])), 'string' FROM {_CUR})
+      SELECT name, kind, count(*) AS n, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS norm FROM n GROUP BY 1, 2""",
+    "summaries": f"""WITH {_EVERY}, s AS (SELECT id, version, list_filter(list_concat(list_concat(list_concat(names, {_parts('list_concat(names, class_names)')}), list_concat(signatures, docstrings[1:4])), list_concat(list_concat({_once('calls')}[1:30], strings[1:15]), list_filter(string_split(control, ', '), lambda x: x <> ''))), lambda x: x <> '') AS a FROM fields),
+      w AS (SELECT id, version, array_to_string(a, ' ') AS t, {sql.words("array_to_string(a, ' ')")} AS w FROM s) SELECT id, version, array_to_string(w[1:128], ' ') AS summary FROM w""",
+}
+
 
 def _worked(spark, d, name, work, only=None):
     """(id, version, name) of all versions; work makes a column of content and lang, once for each distinct pair of them."""
