@@ -127,7 +127,7 @@ def leading_comment(source: Column) -> Column:
     block = F.regexp_extract(source, r"(?s)^\s*/\*+(.*?)\*/", 1)
     run = F.regexp_extract(source, r"^((?:\s*+(?://|#)[^\n]*+\n?+)*+)", 1)  # possessive: matched in a loop, however long the run is
     text = F.when(block != "", block).otherwise(run)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*(?://+|#+|\*+)\s?", ""), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?dm)^\s*(?://+|#+|\*+)\s?", ""), r"\s+", " "))
     return F.nullif(clean, F.lit(""))
 
 

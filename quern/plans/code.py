@@ -98,9 +98,8 @@ def extract_snippets(spark, d):
 
 
 def line_windows(spark, d):
-    """Of the latest version's files, as its SQL says."""
-    rows = files.line_windows(_files(_latest(spark, d)))
-    return rows.select("path", F.col("start_line").cast("bigint").alias("start_line"), "text")
+    rows = files.line_windows(_files(_current(spark, d)), by=("version",))
+    return rows.select("version", "path", F.col("start_line").cast("bigint").alias("start_line"), "text")
 
 
 def _mentioning(spark, d, *terms):
@@ -206,9 +205,8 @@ def cache_misses(spark, d):
 
 
 def encoded(spark, d):
-    """Of the latest version's snippets, as its SQL says."""
-    rows = encode.encode(_latest(spark, d).select("id", F.col("content").alias("text")), encode.HashingEncoder(32))
-    return rows.select("id", F.posexplode("vector").alias("pos", "x")).where("x <> 0").select("id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+    rows = encode.encode(_current(spark, d).select("id", "version", F.col("content").alias("text")), encode.HashingEncoder(32))
+    return rows.select("id", "version", F.posexplode("vector").alias("pos", "x")).where("x <> 0").select("id", "version", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def referenced_vectors(spark, d):
@@ -262,7 +260,7 @@ _FIELDS = rf"""f AS (SELECT id, version, content, {_LANG} AS l FROM {_CUR} WHERE
           WHEN 'javascript' THEN list_concat(regexp_extract_all(content, '\bfunction\s+([A-Za-z_$][\w$]*)\s*\(', 1), regexp_extract_all(content, '\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>', 1)) ELSE [] END AS names,
         CASE l WHEN 'python' THEN regexp_extract_all(content, '(?m)^\s*class\s+([A-Za-z_]\w*)', 1) WHEN 'javascript' THEN regexp_extract_all(content, '\bclass\s+([A-Za-z_$][\w$]*)', 1) ELSE [] END AS class_names FROM f)"""
 _CALLS = rf"""{_FIELDS}, c AS (SELECT *, list_filter(regexp_extract_all({_BARE}, '\b([A-Za-z_$][\w$]*)\s*\(', 1), lambda x: NOT list_contains({sql.texts(C.NOT_CALLS)}, x) AND NOT list_contains(list_concat(names, class_names), x)) AS calls FROM n)"""
-_FILES = f"""files AS (SELECT split_part(id, '::', 1) AS path, string_agg(content, chr(10) ORDER BY coalesce(start_line, 0), id) AS content FROM {_LATEST} WHERE content IS NOT NULL GROUP BY 1)"""
+_FILES = f"""files AS (SELECT version, split_part(id, '::', 1) AS path, string_agg(content, chr(10) ORDER BY coalesce(start_line, 0), id) AS content FROM {_CUR} WHERE content IS NOT NULL GROUP BY 1, 2)"""
 _BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _LINES = rf"""l0 AS (SELECT id, version, split_part(id, '::', 1) AS unit, coalesce(TRY_CAST(split_part(id, '#', -1) AS INT), 1) AS start, regexp_split_to_array(content, '{_BREAK}') AS a FROM {_CUR} WHERE content IS NOT NULL),
       l1 AS (SELECT id, unit, start, CASE WHEN a[-1] = '' AND len(a) > 1 THEN a[1:len(a) - 1] ELSE a END AS a FROM l0),
@@ -323,9 +321,9 @@ ORACLES = {
     "describe_hits": rf"""SELECT id, version, split_part(id, '::', 1) AS unit_path, split_part(split_part(id, '::', 2), '#', 1) AS name, TRY_CAST(split_part(id, '#', -1) AS BIGINT) AS first_line,
       TRY_CAST(split_part(id, '#', -1) AS BIGINT) + len(regexp_split_to_array(regexp_replace(content, '(?:\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}])\z', ''), '\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]')) - 1 AS last_line,
       coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in hits.ENDINGS.items())}}}[lower(regexp_extract(split_part(id, '::', 1), '\.([A-Za-z0-9]+)$', 1))], 'unknown') AS language FROM {_CUR} WHERE content IS NOT NULL""",
-    "line_windows": rf"""WITH {_FILES}, a AS (SELECT path, regexp_split_to_array(content, '\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM files), k AS (SELECT path, l, unnest(range(0, (len(l) - 1) // 60 + 1)) AS k FROM a),
-      w AS (SELECT path, k * 60 + 1 AS start_line, trim(array_to_string(l[k * 60 + 1 : k * 60 + 60], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM k)
-      SELECT path, start_line, text FROM w WHERE length(text) >= 40""",
+    "line_windows": rf"""WITH {_FILES}, a AS (SELECT version, path, regexp_split_to_array(content, '\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM files), k AS (SELECT version, path, l, unnest(range(0, (len(l) - 1) // 60 + 1)) AS k FROM a),
+      w AS (SELECT version, path, k * 60 + 1 AS start_line, trim(array_to_string(l[k * 60 + 1 : k * 60 + 60], chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM k)
+      SELECT version, path, start_line, text FROM w WHERE length(text) >= 40""",
     "uses_lines": f"WITH {_LINES} " + _INNER.format(rf"regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_]){USED}($|[^\p{{L}}\p{{N}}_])')"),
     "callers_lines": f"WITH {_LINES} " + _INNER.format(rf"regexp_matches(text, '(^|[^\w$]){CALLED}\s*\(') AND NOT regexp_matches(text, '^\s*(?:async\s+)?def\s+{CALLED}\b|^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{CALLED}\b|^\s*(?:static\s+)?(?:async\s+)?\*?{CALLED}\s*\([^)]*\)\s*\{{')"),
     "definitions_lines": f"WITH {_LINES} " + _INNER.format(rf"regexp_matches(text, '^\s*(?:async\s+)?def\s+{DEFINED}\b|^\s*class\s+{DEFINED}\b|^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{DEFINED}\b|^\s*(?:export\s+)?(?:const|let|var)\s+{DEFINED}\s*=|^\s*(?:static\s+)?(?:async\s+)?\*?{DEFINED}\s*\([^)]*\)\s*\{{|^\s*{DEFINED}\s*[:=]\s*(?:async\s+)?(?:function\b|\()|^{DEFINED}\s*=')"),
@@ -351,8 +349,8 @@ ORACLES = {
       v AS (SELECT lineage, string_agg(version, ' ' ORDER BY ord) AS versions FROM (SELECT DISTINCT lineage, version, ord FROM hist) GROUP BY 1),
       r AS (SELECT query_id, lineage, id, version, score, versions, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, version) AS rank_no FROM p JOIN v USING (lineage) WHERE n = 1) SELECT * FROM r WHERE rank_no <= 10""",
     "cache_misses": f"""SELECT DISTINCT sha256(content) AS key FROM {_LATEST} WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM {_CUR} WHERE content IS NOT NULL AND version <> (SELECT version FROM versions ORDER BY built_at DESC, version DESC LIMIT 1))""",
-    "encoded": f"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(content, '')), '[a-z]+')) AS t FROM {_LATEST}), c AS (SELECT id, CAST(('0x' || right(md5(t), 2)) AS BIGINT) % 32 AS pos, count(*) AS n FROM w GROUP BY 1, 2)
-      SELECT id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM c""",
+    "encoded": f"""WITH w AS (SELECT id, version, unnest(regexp_extract_all(lower(coalesce(content, '')), '[a-z]+')) AS t FROM {_CUR}), c AS (SELECT id, version, CAST(('0x' || right(md5(t), 2)) AS BIGINT) % 32 AS pos, count(*) AS n FROM w GROUP BY 1, 2, 3)
+      SELECT id, version, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY id, version)), 6) AS x FROM c""",
     "referenced_vectors": f"""SELECT DISTINCT hash, view_name FROM vectors WHERE (view_name, hash) IN (SELECT (e.key, e.value) FROM (SELECT unnest(map_entries(vkeys)) AS e FROM {_CUR}))""",
     "table_digest": f"""SELECT count(*) AS rows, CAST(sum(CAST(('0x' || left(sha256(concat_ws('|', coalesce(length(content) || ':' || content, '-'), coalesce(length(id) || ':' || id, '-'), coalesce(length(version) || ':' || version, '-'))), 15)) AS HUGEINT)) AS VARCHAR) AS digest FROM {_CUR}""",
     "docs_per_term": f"SELECT version, term, count(*) AS n FROM (SELECT version, unnest(list_distinct({sql.index_terms('enriched')})) AS term FROM {_CUR}) GROUP BY 1, 2",
@@ -405,7 +403,23 @@ _NL = _joined(
     ], "'. '",
 )
 _STRIP = r"regexp_replace({}, '^[\s\x{{0b}}]+|[\s\x{{0b}}]+$', '', 'g')"
+_FOLDER = "CASE " + " ".join(f"WHEN list_contains({sql.texts(names)}, x) THEN '{why}'" for why, names in sorted(files.SKIPPED_FOLDERS.items(), key=lambda kv: kv[0] != "virtual environment")) + " WHEN starts_with(x, '.') THEN 'hidden directory' END"
+_SECRET = f"list_contains({sql.texts(files.SECRET_ENDINGS)}, lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1))) OR regexp_matches(name, '{files.SECRET_NAME}') OR contains(lower(name), '.pem.') OR contains(lower(name), '.key.')"
 ORACLES |= {
+    "scan_files": rf"""WITH {_FILES}, p AS (SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM files),
+      env AS (SELECT version, regexp_replace(path, '/pyvenv.cfg$', '') AS folder FROM files WHERE ends_with(path, '/pyvenv.cfg')),
+      f AS (SELECT *, list_filter(list_transform(parts[1:-2], lambda x: {_FOLDER}), lambda x: x IS NOT NULL)[1] AS folder_reason, EXISTS (SELECT 1 FROM env e WHERE e.version = p.version AND starts_with(p.path, e.folder || '/')) AS env,
+        CASE WHEN {_SECRET} THEN 'secret file'
+          WHEN NOT list_contains({sql.texts(files.SOURCE_ENDINGS + files.WINDOW_ENDINGS)}, regexp_extract(name, '\.([A-Za-z0-9]+)$', 1)) THEN 'not source code (docs, data, lockfiles, notebooks)'
+          WHEN regexp_matches(name, '{files.MINIFIED_NAME}') THEN 'minified or generated' WHEN strlen(content) > {files.MOST_BYTES} THEN 'too large (generated)'
+          WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > {files.LONGEST_LINE} THEN 'minified or generated' END AS file_reason FROM p),
+      r AS (SELECT version, path, coalesce(CASE WHEN env THEN 'virtual environment' END, folder_reason, file_reason) AS reason FROM f)
+      SELECT version, path, reason, CASE WHEN reason IS NULL THEN coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in hits.ENDINGS.items())}}}[lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1))], 'unknown') END AS language FROM r""",
+    "changed_fractions": f"""WITH {_HIST}, o AS (SELECT lineage, version, content, changed, lag(content) OVER (PARTITION BY lineage ORDER BY ord, id) AS old FROM hist),
+      t AS (SELECT lineage, version, {sql.tokens('old', False)} AS a, {sql.tokens('content', False)} AS b FROM o WHERE changed)
+      SELECT lineage, version, CASE WHEN len(a) = len(b) AND len(a) > 0 THEN round(len(list_filter(list_zip(a, b), lambda x: x[1] <> x[2])) / len(a), 6) END AS fraction FROM t""",
+    "leading_comments": rf"""WITH c AS (SELECT id, version, regexp_extract(content, '(?s)^\s*/\*+(.*?)\*/', 1) AS block, regexp_extract(content, '^((?:\s*(?://|#)[^\n]*\n?)+)', 1) AS run FROM {_CUR} WHERE content IS NOT NULL)
+      SELECT id, version, nullif(trim(regexp_replace(regexp_replace(CASE WHEN block <> '' THEN block ELSE run END, '(?m)^\s*(?://+|#+|\*+)\s?', '', 'g'), '[\s\x{{0b}}]+', ' ', 'g'), ' '), '') AS comment FROM c""",
     "parse_docs": f"WITH {_EVERY} SELECT id, version, array_to_string(docstrings, '|') AS docstrings, array_to_string(strings, '|') AS strings FROM fields",
     "enriched": f"WITH {_EVERY} SELECT id, version, coalesce(nullif({_TEXT}, ''), content) AS enriched, array_to_string({_once('list_concat(list_concat(names, class_names), calls)')}, ' ') AS identifiers FROM fields",
     "views": f"""WITH {_EVERY}, {_KIND}, v AS (SELECT id, version, 'nl' AS view_name, {_NL} AS "view" FROM kinds UNION ALL
