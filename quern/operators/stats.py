@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -135,38 +135,44 @@ def drop_differences(scores: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def pseudo_queries(snippets: DataFrame, least_words: int = 5) -> DataFrame:
-    """(query_id, version, text, answer): leading comments that are unique and stand in no other snippet; snippets (id, version, content).
-
-    A comment leaks if it stands, in normal form, in another snippet of any version:
-    windows of five words are hash-joined first, and only what shares one is compared
-    whole. Members of one lineage are the same snippet: they neither make its comment
-    ambiguous nor leak it. Equal contents are worked once.
-    """
+    """(query_id, version, text, answer): leading comments that are unique and stand in no other snippet; snippets (id, version, content). Equal contents are worked once."""
     from quern.functions.text import content_hash, words
-    from quern.operators.lineage import lineage_keys
     from quern.session import checkpoint
 
     digest = content_hash(F.col("content")).alias("digest")
-    placed = lineage_keys(checkpoint(snippets.select("id", "version", digest))).select("id", "version", "lineage", "digest")
-    pairs = placed.select("lineage", "digest").distinct()
-
-    def first_window(c: Column) -> Column:
-        return F.xxhash64(F.array_join(F.slice(c, 1, least_words), " "))
-
     comment = F.trim(F.regexp_extract("content", r"^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)", 1))
     body = F.lower(F.array_join(words(F.regexp_replace("content", r"(?m)^\s*(?:/\*\*?|//|#|\*)", "")), " "))
     contents = snippets.select(digest, "content").groupBy("digest").agg(F.first("content").alias("content"))
-    contents = checkpoint(contents.select("digest", F.xxhash64("digest").alias("k"), comment.alias("text"), F.lower(F.array_join(words(comment), " ")).alias("norm"), body.alias("body")))
+    fields = checkpoint(contents.select("digest", comment.alias("text"), F.lower(F.array_join(words(comment), " ")).alias("norm"), body.alias("body")))
+    kept = unleaked(checkpoint(snippets.select("id", "version", digest)), fields, least_words)
+    return kept.select(F.col("id").alias("query_id"), "version", "text", F.col("id").alias("answer"))
+
+
+def unleaked(placed: DataFrame, fields: DataFrame, least_words: int = 5) -> DataFrame:
+    """(id, version, digest, text): texts of ``least_words`` words or more that one lineage alone has and no other snippet holds.
+
+    placed (id, version, digest), fields (digest, text, norm, body): what may become
+    a question, its normal form, and the rest of the snippet in normal form. A text
+    leaks if it stands in another snippet of any version: windows of ``least_words``
+    words are hash-joined with the first window of each text, slim keys alone, and
+    the bodies of what shares one are compared whole. Members of one lineage are the
+    same snippet: they neither make its text ambiguous nor leak it.
+    """
+    from quern.operators.lineage import lineage_keys
+
+    placed = lineage_keys(placed).select("id", "version", "lineage", "digest")
+    pairs = placed.select("lineage", "digest").distinct()
+
+    def window(c: Column, at: Column) -> Column:
+        return F.xxhash64(F.array_join(F.slice(c, at, least_words), " "))
 
-    found = contents.where(F.size(F.split("norm", " ")) >= least_words).select("digest", "text", "norm")
+    found = fields.where(F.size(F.split("norm", " ")) >= least_words).select("digest", "text", "norm")
     owners = found.join(pairs, "digest").groupBy("norm").agg(F.min("lineage").alias("owner"), F.max("lineage").alias("last")).where("owner = last").drop("last")
-    grams = owners.select("owner", "norm", first_window(F.split("norm", " ")).alias("gram"))
+    grams = owners.select("owner", "norm", window(F.split("norm", " "), F.lit(1)).alias("gram"))
 
-    # hashes only propose: the bodies of all that share one are compared whole
     w = F.split("body", " ")
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - (least_words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, least_words), " ")))
-    every = contents.where(F.size(w) >= least_words).select("k", F.explode(F.array_distinct(windows)).alias("gram"))
-    near = every.join(grams, "gram").select("k", "norm", "owner").join(contents.select("k", "digest", "body"), "k").where(F.contains("body", "norm"))
+    every = fields.where(F.size(w) >= least_words).select("digest", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (least_words - 1)), lambda i: window(w, i)))).alias("gram"))
+    near = every.join(grams, "gram").select("digest", "norm", "owner").join(fields.select("digest", "body"), "digest").where(F.contains("body", "norm"))
     leaked = near.select("digest", "norm", "owner").join(pairs, "digest").where(F.col("lineage") != F.col("owner")).select("norm").distinct()
     kept = found.join(owners, "norm").join(leaked, "norm", "left_anti").select("digest", "text")
-    return placed.join(kept, "digest").select(F.col("id").alias("query_id"), "version", "text", F.col("id").alias("answer"))
+    return placed.join(kept, "digest").select("id", "version", "digest", "text")

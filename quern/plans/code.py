@@ -471,3 +471,50 @@ def search_hybrid(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (renamed_code, reordered_code, leading_comments, search_hybrid)}
+
+
+def call_pairs(spark, d):
+    from quern.operators import evaluate
+
+    return evaluate.call_pairs(_current(spark, d).select(F.concat("id", F.lit("@"), "version").alias("id"), "content"))
+
+
+def docstring_queries(spark, d):
+    from quern.operators import evaluate
+
+    return evaluate.docstring_queries(_current(spark, d).select("id", "version", "content")).select("query_id", "version", "text", "answer")
+
+
+def handwritten_queries(spark, d):
+    """The best hit of each stored question, without its line, as the name a hand-written question would give."""
+    from quern.operators import evaluate
+
+    rows = table(spark, d, "search_results").select("query_id", F.explode("hits").alias("h")).where("query_id IS NOT NULL AND h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score)")
+    best = rows.groupBy("query_id", F.col("h.id").alias("id")).agg(F.max("h.score").alias("score")).groupBy("query_id").agg(F.max_by("id", F.struct("score", "id")).alias("id"))
+    spec = best.select("query_id", F.lit("").alias("text"), F.regexp_replace("id", "#[^#]*$", "").alias("answer"))
+    found, missing = evaluate.handwritten_queries(spec, table(spark, d, "snippets").where("id IS NOT NULL").select("id"))
+    return found.select("query_id", "answer", F.lit(True).alias("resolved")).unionByName(missing.select("query_id", "answer", F.lit(False).alias("resolved")))
+
+
+QUERIES |= {f.__name__: f for f in (call_pairs, docstring_queries, handwritten_queries)}
+ORACLES |= {
+    "call_pairs": rf"""WITH s AS (SELECT id || '@' || version AS id, content FROM {_CUR}), d AS (SELECT DISTINCT split_part(split_part(id, '::', 2), '#', 1) AS name FROM s WHERE length(split_part(split_part(id, '::', 2), '#', 1)) > 3 AND split_part(split_part(id, '::', 2), '#', 1) NOT IN ('window', 'main', '__init__')),
+      r AS (SELECT id, list_transform(regexp_extract_all(content, '[\w$.]+\s*\('), lambda x: regexp_replace(x, '\s*\($', '')) AS a FROM s),
+      c AS (SELECT id, name, min(i) AS i FROM (SELECT id, unnest(a) AS name, unnest(range(0, len(a))) AS i FROM r) WHERE regexp_matches(name, '^[A-Za-z_$][\w$]*$') AND name IN (SELECT name FROM d) GROUP BY 1, 2)
+      SELECT x.name AS first, y.name AS second, count(*) AS snippets FROM c x JOIN c y ON x.id = y.id AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "handwritten_queries": """WITH h AS (SELECT query_id, unnest(hits) AS h FROM search_results WHERE query_id IS NOT NULL), b AS (SELECT query_id, h.id AS id, max(h.score) AS score FROM h WHERE h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score) GROUP BY 1, 2),
+      q AS (SELECT query_id, regexp_replace(arg_max(id, (score, id)), '#[^#]*$', '') AS answer FROM b GROUP BY 1), s AS (SELECT regexp_replace(id, '#[^#]*$', '') AS answer, min(id) AS id FROM snippets WHERE id IS NOT NULL GROUP BY 1)
+      SELECT query_id, coalesce(id, answer) AS answer, id IS NOT NULL AS resolved FROM q LEFT JOIN s USING (answer)""",
+}
+
+
+def _norm(text: str) -> str:
+    return f"lower(array_to_string({sql.words(text)}, ' '))"
+
+
+ORACLES["leak_filter"] = rf"""WITH {_HIST.split("hist AS (")[0].rstrip().rstrip(",")},
+      f AS (SELECT DISTINCT lineage, content, trim(regexp_extract(content, '^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)', 1), ' ') AS text, {_norm("regexp_replace(content, '(?m)^\s*(?:/\*\*?|//|#|\*)', '', 'g')")} AS body FROM lin WHERE content IS NOT NULL),
+      t AS (SELECT *, {_norm('text')} AS norm FROM f), c AS (SELECT norm, min(lineage) AS owner FROM t WHERE len(string_split(norm, ' ')) >= 5 GROUP BY 1 HAVING count(DISTINCT lineage) = 1),
+      leaked AS (SELECT DISTINCT c.norm FROM c JOIN t ON t.lineage <> c.owner AND contains(t.body, c.norm)),
+      kept AS (SELECT DISTINCT content, text FROM t WHERE norm IN (SELECT norm FROM c) AND norm NOT IN (SELECT norm FROM leaked))
+      SELECT id AS query_id, version, text, id AS answer FROM lin JOIN kept USING (content)"""

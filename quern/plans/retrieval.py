@@ -481,3 +481,24 @@ ORACLES = {
     "normalised_vectors": """SELECT hash, view_name, round(s, 4) AS size, CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END AS after FROM (SELECT hash, view_name, sqrt(coalesce(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x * x)), 0)) AS s
       FROM vectors WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR abs(x) >= 1e30)) = 0)""",
 }
+
+
+def config_grid(spark, d):
+    """Three rankings as configurations: whole vectors, and either half; the halves against the whole."""
+    from quern.operators import evaluate
+
+    runs = _run(spark, d).select(F.lit("whole").alias("config"), "query_id", "id", "rank_no")
+    for name, run in zip(("first", "second"), _halves(spark, d), strict=True):
+        runs = runs.unionByName(run.select(F.lit(name).alias("config"), "query_id", "id", "rank_no"))
+    from quern.session import checkpoint
+
+    return evaluate.evaluated(checkpoint(runs), _qrels(spark, d), "whole", 100).select("config", "queries", "ndcg", "mrr", "recall", F.round("diff", 4).alias("diff"))
+
+
+QUERIES["config_grid"] = config_grid
+ORACLES["config_grid"] = _RUN + f""", runs AS (SELECT 'whole' AS config, query_id, id, rank_no FROM run UNION ALL SELECT 'first', query_id, id, rank_no FROM {_half('first')} UNION ALL SELECT 'second', query_id, id, rank_no FROM {_half('second')}),
+      rel AS (SELECT query_id, count(*) FILTER (good) AS n FROM pairs GROUP BY 1), ideal AS (SELECT query_id, n, list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))) AS ideal FROM rel WHERE n > 0),
+      got AS (SELECT config, query_id, sum(CASE WHEN good AND rank_no <= 10 THEN 1 / log2(rank_no + 1) ELSE 0 END) AS dcg, min(rank_no) FILTER (good) AS first, count(*) FILTER (good) AS found FROM runs JOIN pairs USING (query_id, id) GROUP BY 1, 2),
+      m AS (SELECT config, query_id, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(found / n, 0), 6) AS recall FROM ((SELECT DISTINCT config FROM runs) CROSS JOIN ideal) LEFT JOIN got USING (config, query_id)),
+      a AS (SELECT config, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall FROM m GROUP BY 1)
+      SELECT a.*, CASE WHEN config <> 'whole' THEN round((SELECT avg(x.ndcg - y.ndcg) FROM m x JOIN m y USING (query_id) WHERE x.config = a.config AND y.config = 'whole'), 4) END AS diff FROM a"""

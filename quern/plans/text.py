@@ -199,3 +199,14 @@ ORACLES = {
         array_to_string(list_filter(ids, lambda y, i: list_position(list_transform(ids, lambda z: lower(z)), lower(y)) = i), ' ') AS idents,
         array_to_string(list_filter(tm, lambda y, i: list_position(tm, y) = i), ' ') AS terms FROM g""",
 }
+
+
+def token_windows(spark, d, tokenizer="/opt/tokenizers/byte_bpe_50k.json"):
+    """Windows of 256 token ids of every document."""
+    from quern.operators import evaluate
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return evaluate.token_windows(docs, tokenizer, 256, 192).groupBy("id").agg(F.count(F.lit(1)).alias("windows"))
+
+
+QUERIES["token_windows"] = token_windows
