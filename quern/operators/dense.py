@@ -20,7 +20,7 @@ from pyspark.sql.types import DataType
 from quern.session import tasks
 
 #: Rows of a block of either side; documents a block has at least if it is not the only one; queries and documents multiplied at once.
-BLOCK_ROWS, LEAST_ROWS = 50_000, 2_000
+BLOCK_ROWS, LEAST_ROWS = 50_000, 500
 CHUNK_QUERIES, CHUNK_DOCS = 1_024, 4_096
 
 
@@ -30,9 +30,12 @@ def grid(queries: DataFrame, docs: DataFrame, run: Callable[[pa.Table, pa.Table]
     across = -(-n_queries // block_rows) or 1
     down = max(-(-n_docs // block_rows), min(tasks(docs.sparkSession), n_docs // LEAST_ROWS)) or 1
 
+    n = min(across * down, tasks(docs.sparkSession))  # said outright: by size these shuffles would be put together, though what follows is heavy
+
     def dealt(rows: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
         at = F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int")
-        return rows.select("*", at.alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
+        copies = rows.select("*", at.alias(own[0]), F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]))
+        return copies.repartition(n, "block_d", "block_q")
 
     q = dealt(queries, "query_id", ("block_q", across), ("block_d", down))
     d = dealt(docs, "id", ("block_d", down), ("block_q", across))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.dense import arrow_type, best_of, grid, ranked
+from quern.session import checkpoint, spread
 
 K1, B = 1.2, 0.75
 MOST_TERMS = 64
@@ -90,10 +91,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, searched: DataFrame |
     from quern.functions import queries as Q
 
     asked = queries.select("query_id", F.slice(Q.search_terms(T.content_tokens(F.col("text"))), 1, MOST_TERMS).alias("terms"))
-    words = docs.select("id", T.index_terms(F.col("text")).alias("terms"))
+    words = checkpoint(spread(docs.select("id", "text"), "id").select("id", T.index_terms(F.col("text")).alias("terms")))  # three things are read from it
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
     wanted = asked.select("query_id", F.explode("terms").alias("term"))
-    frequency = document_frequency(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    held = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = held.join(wanted.select("term").distinct(), "term", "left_semi")
     idf = F.ln((stats["n"] - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
     weighed = wanted.join(frequency, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("t"))  # at most 64 terms a query
     pool = words if searched is None else words.join(searched.select("id"), "id", "left_semi")

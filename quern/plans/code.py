@@ -513,7 +513,7 @@ def _norm(text: str) -> str:
 
 
 ORACLES["leak_filter"] = rf"""WITH {_HIST.split("hist AS (")[0].rstrip().rstrip(",")},
-      f AS (SELECT DISTINCT lineage, content, trim(regexp_extract(content, '^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)', 1), ' ') AS text, {_norm("regexp_replace(content, '(?m)^\s*(?:/\*\*?|//|#|\*)', '', 'g')")} AS body FROM lin WHERE content IS NOT NULL),
+      f AS (SELECT DISTINCT lineage, content, trim(regexp_extract(content, '^\s*(?:/\*\*?|//|#)\s*(.+?)(?:\*/)?\s*(?:\n|$)', 1), ' ') AS text, {_norm(r"regexp_replace(content, '(?m)^\s*(?:/\*\*?|//|#|\*)', '', 'g')")} AS body FROM lin WHERE content IS NOT NULL),
       t AS (SELECT *, {_norm('text')} AS norm FROM f), c AS (SELECT norm, min(lineage) AS owner FROM t WHERE len(string_split(norm, ' ')) >= 5 GROUP BY 1 HAVING count(DISTINCT lineage) = 1),
       leaked AS (SELECT DISTINCT c.norm FROM c JOIN t ON t.lineage <> c.owner AND contains(t.body, c.norm)),
       kept AS (SELECT DISTINCT content, text FROM t WHERE norm IN (SELECT norm FROM c) AND norm NOT IN (SELECT norm FROM leaked))
