@@ -122,3 +122,33 @@ def sweep(queries: DataFrame, docs: DataFrame, refs: DataFrame, ks: list[int], b
             part = penalised_topk(queries, docs, hubs, beta, top).select(F.lit(k).alias("k"), F.lit(beta).alias("beta"), "query_id", "id", "score", "rank_no")
             out = part if out is None else out.unionByName(part)
     return out
+
+
+def cross_fitted(queries: DataFrame, docs: DataFrame, refs: DataFrame, qrels: DataFrame, ks: list[int], betas: list[float], top: int = 10, draws: int = 200) -> DataFrame:
+    """(fold, k, beta, queries, ndcg, diff, low, high, p, significant): parameters chosen on one half of the queries, measured on the other.
+
+    Queries fall into two folds by a hash of their id. Of each fold the parameters of the
+    best mean ndcg are taken (the smaller ones of equal) and their ranking of the other fold, named by ``fold``, is compared with no correction.
+    """
+    from quern.operators.metrics import per_query
+    from quern.operators.stats import paired
+    from quern.session import checkpoint
+
+    runs = checkpoint(sweep(queries, docs, refs, ks, [0.0, *betas], top))
+    key = F.struct("k", "beta", "query_id")
+    grid = runs.select("k", "beta").distinct()
+    judged = qrels.join(F.broadcast(grid), how="cross")  # as many copies as settings
+    scores = per_query(runs.select(key.alias("query_id"), "id", "rank_no"), judged.select(key.alias("query_id"), "id", "rel")).select("query_id.*", "ndcg")
+    scores = checkpoint(scores.withColumn("fold", F.pmod(F.xxhash64("query_id"), F.lit(2)).cast("int")))
+    best = scores.groupBy("fold", "k", "beta").agg(F.avg("ndcg").alias("m")).groupBy("fold").agg(F.max_by(F.struct("k", "beta"), F.struct("m", -F.col("k"), -F.col("beta"))).alias("b"))
+    out = None
+    for fold, b in best.orderBy("fold").collect():  # two rows
+        held = scores.where(F.col("fold") == 1 - fold)
+        mine = held.where((F.col("k") == b["k"]) & (F.col("beta") == b["beta"]))
+        plain = held.where((F.col("k") == ks[0]) & (F.col("beta") == 0.0))
+        both = mine.select(F.lit("fitted").alias("system"), "query_id", F.col("ndcg").alias("score")).unionByName(plain.select(F.lit("plain").alias("system"), "query_id", F.col("ndcg").alias("score")))
+        whole = mine.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+        test = paired(both, "fitted", "plain", draws).select("diff", "low", "high", "p", "significant")
+        part = whole.select(F.lit(1 - fold).alias("fold"), F.lit(b["k"]).alias("k"), F.lit(b["beta"]).alias("beta"), "queries", "ndcg").join(test, how="cross")  # a row each
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -117,8 +117,10 @@ def resolve(vocab: DataFrame, phrases: DataFrame, limit: int = 6) -> DataFrame:
     """(phrase, name, how, score, place): the names a phrase may mean, best first, by the first tier that has any.
 
     Tiers: quoted, exact, variant (equal normal form), contains (all words, at most
-    three times as long), fuzzy (likeness 0.8 or more). Candidates of the last
-    two share a piece of three letters with the phrase, found by hash join.
+    three times as long), fuzzy (likeness 0.8 or more). Candidates of the last two
+    share two neighbouring letters with the phrase, found by hash join: of names of a
+    likeness of 0.8 the blocks that match are longer than a letter on average, so none
+    is missed. Words of a single letter are no pieces; a phrase of such words alone has no name of the last two tiers.
     """
     names = vocab.groupBy("name", "norm").agg(F.sum("n").alias("freq"))
     p = phrases.select("phrase", F.trim("phrase").alias("p")).distinct()
@@ -130,10 +132,10 @@ def resolve(vocab: DataFrame, phrases: DataFrame, limit: int = 6) -> DataFrame:
     long = rest.where(F.length("key") >= 4)
 
     def pieces(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
 
     left = long.select("phrase", "words", "key", F.explode(pieces(F.col("key"))).alias("piece"))
-    right = names.where(F.length("norm") >= 3).select("name", "norm", "freq", F.explode(pieces(F.col("norm"))).alias("piece"))
+    right = names.where(F.length("norm") >= 2).select("name", "norm", "freq", F.explode(pieces(F.col("norm"))).alias("piece"))
     near = left.join(right, "piece").groupBy("phrase", "words", "key", "name", "norm", "freq").agg(F.count(F.lit(1)).alias("shared"))
     holds = F.forall("words", lambda w: F.contains(F.col("norm"), F.lower(w))) & (F.length("norm") <= 3 * F.length("key"))
     contains = near.where(holds).select("phrase", "name", F.lit("contains").alias("how"), (2.0 - (F.length("norm") - F.length("key")) / 100).alias("score"), "freq")

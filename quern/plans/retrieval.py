@@ -502,3 +502,28 @@ ORACLES["config_grid"] = _RUN + f""", runs AS (SELECT 'whole' AS config, query_i
       m AS (SELECT config, query_id, round(coalesce(dcg / ideal, 0), 6) AS ndcg, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(found / n, 0), 6) AS recall FROM ((SELECT DISTINCT config FROM runs) CROSS JOIN ideal) LEFT JOIN got USING (config, query_id)),
       a AS (SELECT config, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall FROM m GROUP BY 1)
       SELECT a.*, CASE WHEN config <> 'whole' THEN round((SELECT avg(x.ndcg - y.ndcg) FROM m x JOIN m y USING (query_id) WHERE x.config = a.config AND y.config = 'whole'), 4) END AS diff FROM a"""
+
+
+def watch_heads_stream(spark, d):
+    """The events as a stream: head changes by state, written and read again."""
+    import uuid
+
+    from quern.session import shared_folder
+    from quern.streaming import watch
+
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    heads = events.select(F.col("user_id").alias("repo"), F.col("ts").alias("at"), F.col("event_type").alias("head"))
+    folder = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    watch.taken_in(watch.head_changes_stream(heads), f"{folder}/out", f"{folder}/progress")
+    return spark.read.schema(heads.schema).parquet(f"{folder}/out")
+
+
+QUERIES["watch_heads_stream"] = watch_heads_stream
+ORACLES["watch_heads_stream"] = ORACLES["watch_heads"]
+
+
+def hub_cross_fitted(spark, d):
+    return hub.cross_fitted(_queries(spark, d), _docs(spark, d), _queries(spark, d), _qrels(spark, d), [1, 5], [0.5, 1.0], 10, 100)
+
+
+QUERIES["hub_cross_fitted"] = hub_cross_fitted

@@ -183,3 +183,26 @@ def recheck(spark: SparkSession, folder: str, encoder: Encoder, n: int = 100, se
     some = code.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("hash")))).limit(n)
     both = some.join(vectors, ["view_name", "hash"])
     return both.select("view_name", "hash", F.round(cosine(normalised(F.col("vector")), normalised(encoder.column(F.col("t")))), 4).alias("cosine"))
+
+
+def index_folder(spark: SparkSession, root: str, folder: str, version: str, all_languages: bool = False, include_vendored: bool = False, **build_options) -> tuple[dict, DataFrame]:
+    """Index the files of a tree, without secrets; the build's figures and the report of what was left out."""
+    from quern.sources import files
+
+    good, report = files.scan(files.read_tree(spark, root, include_vendored), include_vendored, all_languages)
+    return build(spark, good.select("id", "text"), folder, version, kind="repo", **build_options), report
+
+
+def index_records(spark: SparkSession, path: str, folder: str, version: str, kind: str = "records", **build_options) -> dict:
+    """Index a record file of any form ``records.read_corpus`` reads."""
+    from quern.sources import records
+
+    return build(spark, records.read_corpus(spark, path).select("id", "text"), folder, version, kind=kind, **build_options)
+
+
+def index_judged(spark: SparkSession, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: str, version: str, limit: int | None = None, **build_options) -> dict:
+    """Index the corpus of a benchmark's tables (``evaluate.judged``), as a collection of task solutions."""
+    from quern.operators import evaluate
+
+    docs, _, _ = evaluate.judged(corpus, queries, qrels, limit)
+    return build(spark, docs, folder, version, kind="apps", **build_options)

@@ -200,3 +200,10 @@ def test_bootstrap(spark):
     assert p["significant"] and abs(p["diff"] - 0.4) < 1e-9 and p["p"] == 0.0
     g = stats.bootstrap_generator(up, 100).first()
     assert g["low"] < 0.495 < g["high"]
+
+
+def test_names_of_two_letter_pieces(spark):
+    vocab = lexical.vocabulary(spark.createDataFrame([("abycd = 1; ab_cd = 2; unrelated = 3; go_up = abcd_ef",)], "content string"))
+    phrases = spark.createDataFrame([("abxcd",), ("go up",), ("up go",)], "phrase string")
+    got = {(r["phrase"], r["name"], r["how"]) for r in lexical.resolve(vocab, phrases).collect()}
+    assert ("abxcd", "abycd", "fuzzy") in got and ("go up", "go_up", "variant") in got and ("up go", "go_up", "contains") in got

@@ -48,3 +48,18 @@ def test_answers(spark):
     assert kind == "definition" and [(r["unit"], r["line"]) for r in rows.collect()] == [("b.js", 1)]
     assert search.answer(s, "what calls load config before save file")[1].count() == 1
     assert search.answer(s, "returns the thing unchanged")[0] == "search"
+
+
+def test_javascript_names():
+    cases = {
+        "const { a, b: c, d = 1, ...rest } = load(x);\nuse(a, c, d, rest, { a, b: a, rest() {} });": "const { a: v0, b: v1, d: v2 = 1, ...v3 } = load(x);\nuse(v0, v1, v2, v3, { a: v0, b: v0, rest() {} });",
+        "function go(p, [q, r], s = p) { return p + q.r + r + s; }": "function go(v0, [v1, v2], v3 = v0) { return v0 + v1.r + v2 + v3; }",
+        "const f = (x, y) => x + y.x; list.map(z => z * 2);": "const v0 = (v1, v2) => v1 + v2.x; list.map(v3 => v3 * 2);",
+        "try { go(); } catch (err) { log('err', err); }": "try { go(); } catch (v0) { log('err', v0); }",
+        "for (const k of keys) { let m = 1, n = f(k, m); n += m }": "for (const v0 of keys) { let v1 = 1, v2 = f(v0, v1); v2 += v1 }",
+        "const o = { k: 1 }; const k = o.k; send({ k, o: o });": "const v0 = { k: 1 }; const v1 = v0.k; send({ k: v1, o: v0 });",
+        "class A { run(step) { if (step) { return step.run; } } }": "class A { run(v0) { if (v0) { return v0.run; } } }",
+        "": "", "if (a) { b(c); }": "if (a) { b(c); }",
+    }
+    for source, want in cases.items():
+        assert transforms.rename_javascript(source) == want

@@ -178,3 +178,27 @@ def test_watch_stream(spark, tmp_path):
     got = watch.head_changes(spark.createDataFrame(rows, "repo string, at timestamp, head string"))
     assert [r["head"] for r in got.orderBy("at").collect()] == ["x", "y", "x"]
     assert F is not None
+
+
+def test_head_changes_with_state(spark, tmp_path):
+    src, out = tmp_path / "seen", str(tmp_path / "changes")
+    src.mkdir()
+
+    def arrive(name, heads):
+        (src / name).write_text("\n".join(json.dumps({"repo": r, "at": f"2025-01-01 00:00:{at:02}", "head": h}) for r, at, h in heads))
+        watch.taken_in(watch.head_changes_stream(watch.heads_of(spark, str(src))), out, str(tmp_path / "progress"))
+        return sorted((r["repo"], r["at"].second, r["head"]) for r in spark.read.parquet(out).collect())
+
+    first = arrive("1.json", [("r", 2, "y"), ("r", 1, "x"), ("r", 3, "y"), ("s", 1, "a"), ("s", 2, None)])
+    assert first == [("r", 1, "x"), ("r", 2, "y"), ("s", 1, "a")]
+    assert arrive("2.json", [("r", 5, "y"), ("r", 6, "z"), ("s", 7, "a")]) == sorted([*first, ("r", 6, "z")])
+
+
+def test_folders_and_records_are_indexed(spark, tmp_path):
+    (tmp_path / "tree/src").mkdir(parents=True)
+    (tmp_path / "tree/src/a.py").write_text(PY)
+    (tmp_path / "tree/notes.md").write_text("x")
+    built, report = store.index_folder(spark, str(tmp_path / "tree"), str(tmp_path / "i1"), "v1")
+    assert built["snippets"] == 1 and {(r["what"], r["n"]) for r in report.where("n > 0").collect()} == {("file", 1), ("language", 1)}
+    (tmp_path / "r.jsonl").write_text('{"id": "a", "text": "x = 1"}\n{"id": "b", "text": "y = 2"}\n')
+    assert store.index_records(spark, str(tmp_path / "r.jsonl"), str(tmp_path / "i2"), "v1")["snippets"] == 2
