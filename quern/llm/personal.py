@@ -241,7 +241,9 @@ def settled(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind == "phone":
         return (a, b) if 7 <= digits <= 15 else None
     if kind == "id_number":
-        return (a, b) if digits >= 5 and all(len(w) <= 2 for w in _LETTERS.findall(item)) else None
+        # longer ones are hashes and the like; a full stop or comma with a space behind it ends a sentence
+        fits = digits >= 5 and sum(c.isalnum() for c in item) <= 16 and all(len(w) <= 2 for w in _LETTERS.findall(item)) and not re.search(r"[.,;:]\s", item)
+        return (a, b) if fits else None
     return (a, b) if digits and any(c.isalpha() for c in item) else None
 
 

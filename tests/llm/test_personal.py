@@ -127,3 +127,10 @@ def test_shapes():
     assert shapes.identities("4 00 944 275 733 5") == [] and shapes.identities("tax id 00 944 275 733") == [(7, 21)]
     assert shapes.phones("tel:+61 2 5550 5535") == [(4, 19)] and shapes.phones("502 884 27 118") == []
     assert tagger.encode("a\n é序").tolist()[1:3] == [1, 1]
+
+
+def test_spans_that_cannot_be_of_their_kind():
+    for text, kind in (("6ee08e6e-7ee6-4e6e-9189-670671cd9740", "id_number"), ("34. 65536", "id_number"), ("555-01", "phone"), ("O'Connor", "name"), ("deploy@10.1.2.3", "email"), ("Elm Street", "address")):
+        assert personal.settled(text, 0, len(text), kind) is None
+    assert personal.settled("see Dr. Anna Weber, please", 4, 17, "name") == (8, 18)
+    assert personal.settled("tel +44 20 7946 0018.", 5, 20, "phone") == (4, 20)
