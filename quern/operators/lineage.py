@@ -106,3 +106,17 @@ def reuse_report(snippets: DataFrame, versions: DataFrame) -> DataFrame:
 def uid(identity: Column, version: Column, several: bool) -> Column:
     """How a loaded row is named: the id alone when one version is loaded."""
     return F.concat(identity, F.lit("@"), version) if several else identity
+
+
+def rank_probes(hits: DataFrame, golds: DataFrame, base: str, probe: str, k: int = 10) -> DataFrame:
+    """(query_id, lineage, rank_no): where the probed version's member of the answer stands among the base version's hits; null beyond k.
+
+    hits (query_id, lineage, id, version, score), golds (query_id, lineage). Other
+    lineages keep their hits of the base version, the answer's own those of the probed one, as if it alone had been replaced.
+    """
+    own = hits.join(golds.withColumnRenamed("lineage", "gold"), "query_id")
+    mine = F.col("lineage") == F.col("gold")
+    kept = own.where((mine & (F.col("version") == probe)) | (~mine & (F.col("version") == base)))
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    placed = kept.withColumn("n", F.row_number().over(w)).where((F.col("n") <= k) & mine).groupBy("query_id").agg(F.min("n").cast("bigint").alias("rank_no"))
+    return golds.select("query_id", "lineage").join(placed, "query_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -56,38 +58,80 @@ def search(docs: DataFrame, questions: DataFrame, config: SearchConfig = SearchC
     questions go through one plan. A question no arm answers has no rows. With view
     weights the dense arm takes the best weighted view of views (id, view_name, text).
     """
-    encoder = encoder or HashingEncoder()
+    rows: DataFrame | None = None
+    held: dict[str, DataFrame] = {}
+    for stage, run in _stages(docs, questions, config, encoder or HashingEncoder(), hubs, views):
+        held[stage] = rows = run(held)
+    return rows
+
+
+Stage = tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]
+
+
+def _stages(docs: DataFrame, questions: DataFrame, config: SearchConfig, encoder: Encoder, hubs: DataFrame | None, views: DataFrame | None) -> list[Stage]:
+    """The stages of a search in their order: a name, and what it makes of the stages before it."""
     texts = docs.select("id", "text")
-    lists: list[DataFrame] = []
+    arms: list[Stage] = []
     if config.use_dense:
         if config.view_weights is not None and (views is None or hubs is not None and config.hub_beta):
             raise ValueError("view weights need views, and no hubs")
-        vectors = texts.select("id", encoder.column(F.col("text")).alias("vector"))
-        asked = questions.select("query_id", encoder.column(F.col("text")).alias("vector"))
-        bias: Column | None = None
-        if hubs is not None and config.hub_beta:
-            vectors = vectors.join(hubs, "id", "left")
-            bias = -config.hub_beta * F.coalesce("hub", F.raise_error(F.lit("an indexed document has no hub")).cast("double"))
-        if config.view_weights is not None:
-            seen = views.select("id", "view_name", encoder.column(F.col("text")).alias("vector"))
-            lists.append(dense.multi_view_topk(asked, seen, config.view_weights, config.shortlist))
-        else:
-            lists.append(dense.dense_topk(asked, vectors, config.shortlist, bias=bias))
+
+        def by_vectors(_: dict[str, DataFrame]) -> DataFrame:
+            vectors = texts.select("id", encoder.column(F.col("text")).alias("vector"))
+            asked = questions.select("query_id", encoder.column(F.col("text")).alias("vector"))
+            bias: Column | None = None
+            if hubs is not None and config.hub_beta:
+                vectors = vectors.join(hubs, "id", "left")
+                bias = -config.hub_beta * F.coalesce("hub", F.raise_error(F.lit("an indexed document has no hub")).cast("double"))
+            if config.view_weights is not None:
+                seen = views.select("id", "view_name", encoder.column(F.col("text")).alias("vector"))
+                return dense.multi_view_topk(asked, seen, config.view_weights, config.shortlist)
+            return dense.dense_topk(asked, vectors, config.shortlist, bias=bias)
+
+        arms.append(("dense", by_vectors))
     if config.use_sparse:
-        lists.append(sparse.bm25(texts, questions, config.shortlist))
-    if not lists:
+        arms.append(("sparse", lambda _: sparse.bm25(texts, questions, config.shortlist)))
+    if not arms:
         raise ValueError("a search needs an arm")
-    short = lists[0] if len(lists) == 1 else fuse.fused(lists, config.fusion_k, [1.0, config.sparse_weight], config.shortlist)
+    out = list(arms)
+    short = arms[0][0]
+    if len(arms) > 1:
+        short = "fused"
+        out.append((short, lambda held: fuse.fused([held["dense"], held["sparse"]], config.fusion_k, [1.0, config.sparse_weight], config.shortlist)))
     wanted = config.top_k if config.include_tests else 4 * config.top_k
     if config.rerank.enabled:
-        hits = _reranked(short, docs, questions, config, wanted)
+        out.append(("reranked", lambda held: _reranked(held[short], docs, questions, config, wanted)))
     else:
-        hits = dense.ranked(short.select("query_id", "id", "score"), wanted)
+        out.append(("cut", lambda held: dense.ranked(held[short].select("query_id", "id", "score"), wanted)))
     if not config.include_tests:
         from quern.operators.hits import without_tests
 
-        hits = without_tests(hits, config.top_k)
-    return hits
+        last = out[-1][0]
+        out.append(("without tests", lambda held: without_tests(held[last], config.top_k)))
+    return out
+
+
+def explained(docs: DataFrame, questions: DataFrame, config: SearchConfig = SearchConfig(), encoder: Encoder | None = None, hubs: DataFrame | None = None, views: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """A search stage by stage: its hits, (stage, seconds, hits, questions) in order, and notes on arms that are off or left questions without hits.
+
+    Every stage is written before the next one starts, so that its time is its own.
+    """
+    from quern.session import checkpoint
+
+    spark = docs.sparkSession
+    held: dict[str, DataFrame] = {}
+    report, notes = [], [f"the {arm} arm is off" for arm, on in (("dense", config.use_dense), ("sparse", config.use_sparse)) if not on]
+    asked = questions.select("query_id").distinct().count()
+    if config.hub_beta and hubs is None:
+        notes.append("no hubs were given: the correction is off")
+    for stage, run in _stages(docs, questions, config, encoder or HashingEncoder(), hubs, views):
+        began = time.perf_counter()
+        held[stage] = checkpoint(run(held))
+        n = held[stage].agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("query_id").alias("questions")).first()
+        report.append((len(report), stage, time.perf_counter() - began, n["hits"], n["questions"]))
+        if n["questions"] < asked:
+            notes.append(f"{stage}: {asked - n['questions']} of {asked} questions without hits")
+    return held[report[-1][1]], spark.createDataFrame(report, "place int, stage string, seconds double, hits bigint, questions bigint"), notes
 
 
 def search_versions(docs: DataFrame, questions: DataFrame, versions: DataFrame, config: SearchConfig = SearchConfig(), encoder: Encoder | None = None, views: DataFrame | None = None) -> DataFrame:

@@ -518,3 +518,24 @@ ORACLES["leak_filter"] = rf"""WITH {_HIST.split("hist AS (")[0].rstrip().rstrip(
       leaked AS (SELECT DISTINCT c.norm FROM c JOIN t ON t.lineage <> c.owner AND contains(t.body, c.norm)),
       kept AS (SELECT DISTINCT content, text FROM t WHERE norm IN (SELECT norm FROM c) AND norm NOT IN (SELECT norm FROM leaked))
       SELECT id AS query_id, version, text, id AS answer FROM lin JOIN kept USING (content)"""
+
+
+def rank_probes(spark, d):
+    """Of each stored question the lineage of its best hit, probed in the oldest version among the hits of the newest."""
+    from quern.operators.snapshots import version_order
+    from quern.session import checkpoint
+
+    rows = table(spark, d, "search_results").select("query_id", F.explode("hits").alias("h")).where("query_id IS NOT NULL AND h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score)")
+    best = rows.groupBy("query_id", F.col("h.id").alias("id")).agg(F.max("h.score").alias("score"))
+    found = checkpoint(best.join(_history(spark, d).select("lineage", "id", "version"), "id"))
+    golds = found.groupBy("query_id").agg(F.max_by("lineage", F.struct("score", "id", "lineage")).alias("lineage"))
+    ends = version_order(table(spark, d, "versions")).agg(F.min_by("version", "ord").alias("first"), F.max_by("version", "ord").alias("last")).first()
+    return lineage.rank_probes(found, golds, ends["last"], ends["first"])
+
+
+QUERIES["rank_probes"] = rank_probes
+ORACLES["rank_probes"] = f"""WITH {_HIST}, best AS (SELECT query_id, h.id AS id, max(h.score) AS score FROM (SELECT query_id, unnest(hits) AS h FROM search_results WHERE query_id IS NOT NULL) WHERE h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score) GROUP BY 1, 2),
+      f AS (SELECT query_id, lineage, b.id, version, score, ord FROM best b JOIN hist USING (id)), g AS (SELECT query_id, arg_max(lineage, (score, id, lineage)) AS gold FROM f GROUP BY 1),
+      e AS (SELECT min(ord) AS a, max(ord) AS z FROM {sql.ORDERED}), k AS (SELECT f.*, gold FROM f JOIN g USING (query_id), e WHERE (lineage = gold AND ord = a) OR (lineage <> gold AND ord = z)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM k), p AS (SELECT query_id, min(n) AS rank_no FROM r WHERE n <= 10 AND lineage = gold GROUP BY 1)
+      SELECT query_id, gold AS lineage, rank_no FROM g LEFT JOIN p USING (query_id)"""

@@ -63,3 +63,16 @@ def test_javascript_names():
     }
     for source, want in cases.items():
         assert transforms.rename_javascript(source) == want
+
+
+def test_search_explained(spark):
+    from quern.operators import search
+    from quern.sources import sample
+
+    corpus, queries, _ = sample.load_sample(spark)
+    asked = queries.limit(4).unionByName(spark.createDataFrame([("none", "zzzz qqqq")], "query_id string, text string"))
+    hits, report, notes = search.explained(corpus, asked, search.SearchConfig(use_dense=False, hub_beta=0.5))
+    assert [r["stage"] for r in report.orderBy("place").collect()] == ["sparse", "reranked"] and all(r["seconds"] > 0 for r in report.collect())
+    assert "the dense arm is off" in notes and "sparse: 1 of 5 questions without hits" in notes and any("no hubs" in n for n in notes)
+    plain = search.search(corpus, asked, search.SearchConfig(use_dense=False, hub_beta=0.5))
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.collect()))
