@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What is a token, and a part of an identifier.
 #: Identifiers and numbers; letters and digits of any script may follow the first sign.
 WORD = r"[A-Za-z_$][\p{L}\p{N}_$]*|\p{Nd}+"
 SUBWORD = r"[A-Z]+(?![a-z])|[A-Z][a-z]+|[a-z]+|[0-9]+"
@@ -160,12 +161,15 @@ def changed_fraction(before: Column, after: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), differ / F.size(a))
 
 
+# Fixed value: the paths of tests.
+TEST_PATH = r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*\.py$|_test\.py$|\.(test|spec)\.[cm]?[jt]sx?$"
+
+
 def is_test_path(path: Column) -> Column:
-    return F.translate(path, "\\", "/").rlike(
-        r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*\.py$|_test\.py$|\.(test|spec)\.[cm]?[jt]sx?$"
-    )
+    return F.translate(path, "\\", "/").rlike(TEST_PATH)
 
 
+# Fixed value: the line that ends the statement of a task.
 STATEMENT_MARK = r"(?i)-{3,}\s*(?:Input|Output|Examples?|Note|Constraints|Sample)"
 
 
