@@ -53,6 +53,42 @@ def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((scores >= least) & np.isfinite(scores))
 
 
+class Best:
+    """The k best documents of each query over many blocks of scores, ties with the k-th kept; held as places, cut whenever it has doubled."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.room = k, max(2 * k * n_queries, 100_000)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, first_doc: int, first_query: int) -> None:
+        """scores: documents by queries, minus infinity where there is none."""
+        doc, query = best_of(scores, self.k)
+        self.parts.append(((query + first_query).astype(np.int32), (doc + first_doc).astype(np.int32), scores[doc, query]))
+        self.size += len(doc)
+        if self.size > self.room:
+            self.parts = [self.cut()]
+            self.size = len(self.parts[0][0])
+            self.room = max(self.room, 2 * self.size)
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) places of what is left."""
+        if not self.parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        query, doc, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((-score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        start = np.searchsorted(query, query)  # where each query begins
+        bar = score[np.minimum(start + self.k - 1, np.searchsorted(query, query, side="right") - 1)]
+        keep = score >= bar
+        return query[keep], doc[keep], score[keep]
+
+    def table(self, names: list, ids: list, query_type: pa.DataType, id_type: pa.DataType) -> pa.Table:
+        query, doc, score = self.cut()
+        columns = [pa.array(names, query_type).take(pa.array(query)), pa.array(ids, id_type).take(pa.array(doc)), pa.array(score, pa.float64())]
+        return pa.table(columns, ["query_id", "id", "score"])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     whole = column.combine_chunks()
     dim = len(whole[0]) if len(whole) else 0
@@ -65,26 +101,22 @@ def _chunks(n: int, size: int) -> list[slice]:
 
 def _score(k: int, floor: float | None, digits: int, id_type: pa.DataType, query_type: pa.DataType, skip_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = [], [], []
-        if queries.num_rows and docs.num_rows:
+        best = Best(k, queries.num_rows)
+        ids, names = docs["id"].to_pylist(), queries["query_id"].to_pylist()
+        if ids and names:
             x, q = _matrix(docs["vector"]), _matrix(queries["vector"])
             bias = docs["bias"].to_numpy()
-            ids, names = np.array(docs["id"].to_pylist(), object), np.array(queries["query_id"].to_pylist(), object)
             place = {v: i for i, v in enumerate(ids)} if skip_self else {}
             own = np.array([place.get(v, -1) for v in names])
             for qs in _chunks(len(q), CHUNK_QUERIES):
                 for ds in _chunks(len(x), CHUNK_DOCS):
                     s = np.round(x[ds] @ q[qs].T + bias[ds, None], digits)  # documents by queries
-                    mine = np.flatnonzero((own[qs] >= ds.start) & (own[qs] < ds.stop)) if skip_self else []
+                    mine = np.flatnonzero((own[qs] >= ds.start) & (own[qs] < ds.stop))
                     s[own[qs][mine] - ds.start, mine] = -np.inf
                     if floor is not None:
                         s[~(s > floor)] = -np.inf
-                    doc, query = best_of(s, k)
-                    found[0].append(names[qs][query])
-                    found[1].append(ids[ds][doc])
-                    found[2].append(s[doc, query])
-        query_ids, doc_ids, scores = (np.concatenate(x) if x else [] for x in found)
-        return pa.table([pa.array(list(query_ids), query_type), pa.array(list(doc_ids), id_type), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
+                    best.add(s, ds.start, qs.start)
+        return best.table(names, ids, query_type, id_type)
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.dense import arrow_type, best_of, grid, ranked
+from quern.operators.dense import Best, arrow_type, grid, ranked
 from quern.session import checkpoint, spread
 
 K1, B = 1.2, 0.75
@@ -38,8 +38,8 @@ def inverse_frequency(n_docs: Column, n: Column) -> Column:
 
 def _weigh(k: int, avgdl: float, digits: int, id_type: pa.DataType, query_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = [], [], []
-        names, ids = np.array(queries["query_id"].to_pylist(), object), np.array(docs["id"].to_pylist(), object)
+        best = Best(k, queries.num_rows)
+        names, ids = queries["query_id"].to_pylist(), docs["id"].to_pylist()
         if len(names) and len(ids):
             asked = queries["terms"].combine_chunks()
             of = np.repeat(np.arange(len(asked)), asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -69,12 +69,8 @@ def _weigh(k: int, avgdl: float, digits: int, id_type: pa.DataType, query_type:
                         by_query[row, of[at_term][mine] - qs] = weight[at_term][mine]
                     s = np.round(by_doc @ by_query, digits)
                     s[s <= 0] = -np.inf
-                    d, q = best_of(s, k)
-                    found[0].append(names[qs + q])
-                    found[1].append(ids[lo + d])
-                    found[2].append(s[d, q])
-        query_ids, doc_ids, scores = (np.concatenate(x) if x else [] for x in found)
-        return pa.table([pa.array(list(query_ids), query_type), pa.array(list(doc_ids), id_type), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
+                    best.add(s, lo, qs)
+        return best.table(names, ids, query_type, id_type)
 
     return run
 

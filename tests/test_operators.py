@@ -207,3 +207,19 @@ def test_names_of_two_letter_pieces(spark):
     phrases = spark.createDataFrame([("abxcd",), ("go up",), ("up go",)], "phrase string")
     got = {(r["phrase"], r["name"], r["how"]) for r in lexical.resolve(vocab, phrases).collect()}
     assert ("abxcd", "abycd", "fuzzy") in got and ("go up", "go_up", "variant") in got and ("up go", "go_up", "contains") in got
+
+
+def test_best_over_blocks_keeps_ties():
+    r = np.random.default_rng(5)
+    scores = np.round(r.random((400, 7)), 1)  # many equal ones
+    scores[r.random(scores.shape) < 0.2] = -np.inf
+    best = dense.Best(3, 7)
+    best.room = 50  # cut often
+    for a in range(0, 400, 16):
+        for b in (0, 4):
+            best.add(scores[a : a + 16, b : b + 4], a, b)
+    query, doc, score = best.cut()
+    got = set(zip(query.tolist(), doc.tolist(), strict=True))
+    want = {(q, d) for q in range(7) for d in range(400) if np.isfinite(scores[d, q]) and scores[d, q] >= np.sort(scores[:, q])[-3]}
+    assert got == want and len(score) == len(want)
+    assert len(dense.Best(3, 0).cut()[0]) == 0
