@@ -157,6 +157,44 @@ def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _NOTHING = np.zeros(0, np.int64)
 
 
+def _several(held: DataFrame) -> DataFrame:
+    """(path) of files most of whose rules stand in three projects or more, or that have a twin in another project; held has (path, project, rule), distinct.
+
+    All pairs of files of two projects count. Twins differ in few rules, so the first rule both have, counted from the one that fewest projects
+    hold, is among the first few of either. Of a file that three projects alone do not give away, that rule is in two projects only, so such rules
+    find the pairs, whose sets of rules are then compared whole; files of equal rules go through this once.
+    """
+    spread = held.groupBy("rule").agg(F.count_distinct("project").alias("projects"), F.count(F.lit(1)).alias("files"))
+    ruled = held.join(spread, "rule").groupBy("path", "project").agg(
+        F.sort_array(F.collect_list(F.struct("projects", "files", "rule"))).alias("ordered"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("projects") >= LEAST_PROJECTS).alias("many")
+    )
+    first = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(TWIN_RULES * F.col("n")) + 1).cast("int"))
+    lead = F.transform(F.filter(first, lambda x: x["projects"] == 2), lambda x: x["rule"])
+    # one function that several projects hold makes no copied file: most rules of the file must be theirs
+    known = ruled.select(
+        "path", "project", "n", ((F.col("many") >= 2) & (F.col("many") >= SHARED_RULES * F.col("n"))).alias("several"),
+        F.when(F.col("n") >= 2, lead).otherwise(F.array().cast("array<bigint>")).alias("lead"), F.col("ordered.rule").alias("rules"),
+    ).where(F.col("several") | (F.size("lead") > 0))
+    known = checkpoint(known.withColumn("rules", F.when(F.size("lead") > 0, F.col("rules"))).withColumn("set", F.sha2(F.array_join(F.col("rules").cast("array<string>"), ","), 256)))
+    # in two projects alone: nearly all rules of either file must be those of the other
+    sets = known.where(F.size("lead") > 0).groupBy("set").agg(
+        F.first("n").alias("n"), F.min("project").alias("low"), F.max("project").alias("high"), F.first("lead").alias("lead"), F.first("rules").alias("rules")
+    )
+    keyed = sets.select("set", "n", "low", "high", F.explode("lead").alias("rule"))
+    same = (F.col("a.low") == F.col("a.high")) & (F.col("b.low") == F.col("b.high")) & (F.col("a.low") == F.col("b.low"))
+    pairs = (
+        keyed.alias("a").join(keyed.alias("b"), F.col("a.rule") == F.col("b.rule"))
+        .where((F.col("a.set") < F.col("b.set")) & ~same & (F.least("a.n", "b.n") >= TWIN_RULES * F.greatest("a.n", "b.n")))
+        .select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    )
+    sized = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("rules").alias("rules_a")), "a")
+    sized = sized.join(sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("rules").alias("rules_b")), "b")
+    sized = sized.withColumn("shared", F.size(F.array_intersect("rules_a", "rules_b")))
+    alike = sized.where((F.col("shared") >= 2) & (F.col("shared") >= TWIN_RULES * F.greatest("n_a", "n_b"))).select(F.explode(F.array("a", "b")).alias("set"))
+    twins = known.select("path", "set").join(alike.unionByName(sets.where("low <> high").select("set")).distinct(), "set", "left_semi")
+    return known.where("several").select("path").unionByName(twins.select("path")).distinct()
+
+
 def file_evidence(snippets: DataFrame) -> DataFrame:
     """(path, generated, minified, blob, third_party): what the contents of each file show."""
     rows = snippets.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select(
@@ -171,9 +209,6 @@ def file_evidence(snippets: DataFrame) -> DataFrame:
     known = checkpoint(judged.join(declared, "digest").select("digest", "generated", "minified", "blob", (F.col("declared") | F.col("licensed")).alias("origin"), "rules"))
     rules = known.select("digest", "origin", F.size("rules").alias("n"), F.explode("rules").alias("rule"))
     held = files.select("path", F.split_part("path", F.lit("/"), F.lit(1)).alias("project"), "digest").join(rules.select("digest", "rule"), "digest").select("path", "project", "rule").distinct()
-    spread = held.groupBy("rule").agg(
-        F.count_distinct("project").alias("projects"), F.min(F.struct("project", "path")).alias("a"), F.max(F.struct("project", "path")).alias("b")
-    ).where("projects >= 2")
     shared = rules.where("origin").select("rule").distinct()
     copied = (
         rules.where(~F.col("origin")).join(shared, "rule", "left_semi")
@@ -181,15 +216,7 @@ def file_evidence(snippets: DataFrame) -> DataFrame:
         .where((F.col("shared") >= 2) & (F.col("shared") >= SHARED_RULES * F.col("n")))
         .select("digest", F.lit(True).alias("copy"))
     )
-    # one function that several projects hold makes no copied file: most rules of the file must be theirs
-    size = held.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    many = held.join(spread.where(F.col("projects") >= LEAST_PROJECTS).select("rule"), "rule", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("shared"))
-    several = many.join(size, "path").where((F.col("shared") >= 2) & (F.col("shared") >= SHARED_RULES * F.col("n"))).select("path")
-    # in two projects alone: nearly all rules of either file must be those of the other
-    pairs = spread.where("projects = 2").groupBy(F.col("a.path").alias("a"), F.col("b.path").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-    sized = pairs.join(size.select(F.col("path").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("path").alias("b"), F.col("n").alias("n_b")), "b")
-    twins = sized.where(F.col("shared") >= TWIN_RULES * F.greatest("n_a", "n_b")).select(F.explode(F.array("a", "b")).alias("path"))
-    several = several.unionByName(twins).distinct().withColumn("several", F.lit(True))
+    several = _several(held).withColumn("several", F.lit(True))
     shows = known.select("digest", "generated", "minified", "blob", "origin").join(copied, "digest", "left")
     return (
         files.join(shows, "digest").join(several, "path", "left").groupBy("path")

@@ -102,3 +102,41 @@ def test_an_undeclared_copy_in_two_projects(spark):
     rows = [("a/lib/x.py::f#1", "v", HAND), ("b/own/y.py::f#1", "v", HAND + "    # seen\n"), ("c/own/z.py::f#1", "v", other), ("d/own/w.py::f#1", "v", other), ("d/own/w.py::g#30", "v", GENERATED.replace("get", "put")[:300] + HAND.replace("sorted", "list").replace("startswith", "endswith").replace("log", "note").replace("join", "glue").replace("copy", "move").replace("resolve", "settle").replace("listdir", "scan").replace("path", "spot"))]
     df = spark.createDataFrame(rows, "id string, version string, content string")
     assert sorted(r["path"] for r in handwritten.not_written_by_hand(df).collect()) == ["a/lib/x.py", "b/own/y.py"]
+
+
+def test_twins_among_many_partners(spark):
+    r = random.Random(3)
+    rules = [r.randrange(10**12) for _ in range(60)]
+    few, part, all_of_it = rules[:2], rules[:5], rules[:20]
+    held = {
+        # x and y are the twins; other files of their projects, before and behind them, hold some of the same rules
+        "a/x.py": all_of_it, "b/y.py": all_of_it[1:] + rules[20:21], "a/a.py": part + rules[21:30], "b/z.py": part + rules[30:40],
+        # eight rules in ten are shared, of which four with a third project
+        "c/v.py": rules[40:50], "d/w.py": rules[40:48] + rules[50:52], "e/u.py": rules[40:44] + rules[52:60], "f/one.py": few[:1], "g/one.py": few[:1],
+        # equal files of one project, and equal files of two
+        "h/p.py": [1, 2, 3], "h/q.py": [1, 2, 3], "i/p.py": [4, 5], "i/q.py": [4, 5], "j/p.py": [4, 5],
+    }
+    rows = [(path, path.split("/")[0], rule) for path, rs in held.items() for rule in rs]
+    got = sorted(x["path"] for x in handwritten._several(spark.createDataFrame(rows, "path string, project string, rule bigint")).collect())
+    assert got == ["a/x.py", "b/y.py", "c/v.py", "d/w.py", "i/p.py", "i/q.py", "j/p.py"]
+    for seed in range(3):
+        r = random.Random(seed)
+        bases = [[r.randrange(10**9) for _ in range(r.randrange(2, 15))] for _ in range(12)]
+        sets = {f"{r.choice('abcde')}/{k}": {x if r.random() < 0.9 else r.randrange(10**9) for x in r.choice(bases)} for k in range(80)}
+        df = spark.createDataFrame([(p, p[0], x) for p, s in sets.items() for x in s], "path string, project string, rule bigint")
+        projects = {x: {p[0] for p, s in sets.items() if x in s} for s in sets.values() for x in s}
+        want = {p for p, s in sets.items() if (many := sum(len(projects[x]) >= 3 for x in s)) >= 2 and many >= 0.5 * len(s)}
+        want |= {p for p, s in sets.items() for q, t in sets.items() if p[0] != q[0] and len(s & t) >= 2 and len(s & t) >= 0.8 * max(len(s), len(t))}
+        assert {x["path"] for x in handwritten._several(df).collect()} == want
+
+
+def test_twins_between_files_that_share_a_function(spark):
+    def file(seed, n):
+        r = random.Random(seed)
+        words = "if else for while return in not and or with as try raise = + - * / % < > ( ) [ ] { } . , : lamp road tree".split()
+        return "".join(f"    {' '.join(r.choice(words) for _ in range(12))} name{r.randrange(10**6)}\n" for _ in range(n))
+
+    shared, own = file(1, 8), file(2, 12)
+    texts = {"a/b.py": shared + file(3, 12), "a/m.py": shared + own, "b/c.py": shared + own, "b/n.py": shared + file(4, 12)}
+    df = spark.createDataFrame([(f"{p}::f#1", "v", t) for p, t in texts.items()], "id string, version string, content string")
+    assert sorted(x["path"] for x in handwritten.not_written_by_hand(df).collect()) == ["a/m.py", "b/c.py"]  # not a/b.py and b/n.py, the first and the last that hold the shared part
