@@ -16,8 +16,9 @@ candidates) do not depend on the number of items. The windows of the items are
 broadcast if their counted number allows it, and joined by shuffle beyond; so
 are the words of the items for the alignment.
 
-Windows that more than ``STOCK`` held-out texts share belong to stock sentences,
-which are no cases: they lead to no candidates, but count in the alignment.
+A window leads to every text that has it, however many these are: a passage that
+many held-out texts share is one of each of them. Stock sentences are no cases
+because they are shorter than ``least_words``, which the alignment counts.
 
 Defined cases
   * null, empty and blank texts match nothing; so do items of fewer than
@@ -51,9 +52,8 @@ WINDOW = 4
 LEAST_WORDS = 20
 #: What the passages must score: for each word, or in all; and what a single piece must score.
 WORD_SCORE, LEAST_SCORE, PIECE_SCORE = 0.5, 13.0, 8.0
-#: Texts that may share a window before it counts as stock; places at which a document must have windows of a text
-#: (20 words of which one in six is edited keep at least five windows wherever the edits stand).
-STOCK, LEAST_HITS = 16, 5
+#: Places at which a document must have windows of a text (20 words of which one in six is edited keep at least five windows wherever the edits stand).
+LEAST_HITS = 5
 #: Diagonals that count together; document words after which hits count anew (one bit each); words a passage may drift from its diagonal.
 LANE, STRETCH, DRIFT = 8, 64, 12
 EDIT, GAP, SLOT = 2.0, 1.5, 4.0
@@ -256,7 +256,7 @@ def leaked(pairs: list[tuple[list[str], list[Candidate]]], least_words: int = LE
     """For each document's words and its candidates (words, own words, hits): (words carried, score) of each; (0, 0) for none."""
     jobs, place = [], []
     codes: dict[str, int] = {}
-    read_items: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    read_items: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
     for d, (doc, candidates) in enumerate(pairs):
         known = {w for item, _, _ in candidates for w in item}
         for w in known:
@@ -268,9 +268,11 @@ def leaked(pairs: list[tuple[list[str], list[Candidate]]], least_words: int = LE
         for c, (item, own, hits) in enumerate(candidates):
             one = tuple(item)
             if one not in read_items:
-                read_items[one] = np.array([codes[w] for w in item]), np.array([w in own for w in item]), np.array([w[0].isdigit() for w in item])
-            x, mine, number = read_items[one]
-            mine_jobs, shared = [], np.zeros(len(x), bool)
+                mine, number = np.array([w in own for w in item]), np.array([w[0].isdigit() for w in item])
+                # the least that a word costs that is not in the document
+                read_items[one] = np.array([codes[w] for w in item]), mine, number, np.where(mine, SLOT - 1, np.where(number, EDIT, GAP))
+            x, mine, number, cost = read_items[one]
+            mine_jobs, shared, bound = [], np.zeros(len(x), bool), 0.0
             for first, last, diagonal in regions(hits):
                 shift = int(moved[min(first, len(doc))]) - first
                 lo, hi = max(0, first + shift - MARGIN), min(len(words), int(moved[min(last + WINDOW, len(doc))]) + MARGIN)
@@ -279,11 +281,20 @@ def leaked(pairs: list[tuple[list[str], list[Candidate]]], least_words: int = LE
                 if p < q:
                     near = y[lo:hi]
                     present[near] = True
-                    shared[p:q] |= present[x[p:q]]
+                    here = present[x[p:q]]
                     present[near] = False
+                    # no alignment scores more than the best stretch of the item does if every word found here stands in its place
+                    if np.count_nonzero(here) < PIECE_SCORE:
+                        continue
+                    worth = np.cumsum(np.where(here, 1.0, -cost[p:q]))
+                    most = float((worth - np.minimum(np.minimum.accumulate(worth), 0)).max())
+                    if most < PIECE_SCORE - 0.01:
+                        continue
+                    bound += most
+                    shared[p:q] |= here
                     mine_jobs.append(((x[p:q], mine[p:q], number[p:q], near, digit[lo:hi], diagonal + shift - lo + p), (d, c, p, lo)))
             # a word that is left out costs as much as a word and a half, so a score of half a word each needs four words in five
-            if shared.sum() >= 0.8 * least_words:
+            if shared.sum() >= 0.8 * least_words and bound >= min(LEAST_SCORE, WORD_SCORE * least_words) - 0.01:
                 jobs += [j for j, _ in mine_jobs]
                 place += [at for _, at in mine_jobs]
     passages: dict[tuple[int, int], list[tuple[float, int, int, int, int]]] = {}
@@ -294,8 +305,11 @@ def leaked(pairs: list[tuple[list[str], list[Candidate]]], least_words: int = LE
     for d, (doc, candidates) in enumerate(pairs):
         row = []
         for c, (item, _, _) in enumerate(candidates):
+            if (d, c) not in passages:
+                row.append((0, 0.0))
+                continue
             taken, read, total = np.zeros(len(item), bool), np.zeros(len(doc) + 1, bool), 0.0
-            for score, a, b, x, y in sorted(passages.get((d, c), []), reverse=True):
+            for score, a, b, x, y in sorted(passages[d, c], reverse=True):
                 fresh = min((~taken[a:b]).sum() / max(1, b - a), (~read[x:y]).sum() / max(1, y - x))
                 if fresh >= 0.5:  # of passages that overlap, what the better ones leave counts
                     taken[a:b] = read[x:y] = True
@@ -357,14 +371,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     known = texts.join(own, "held", "left").select("held", "words", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
 
     places = _window_rows(texts.select(F.col("held").alias("key"), "text")).select(F.col("key").alias("held"), F.col("at").alias("item_at"), "window")
-    shared = places.groupBy("window").agg(F.count_distinct("held").alias("texts")).where(F.col("texts") <= STOCK)
-    anchors = places.join(shared.select("window"), "window").distinct()
-    if anchors.count() <= most_broadcast:
-        anchors = F.broadcast(anchors)
+    anchors = places.distinct()
+    few = anchors.count() <= most_broadcast
     corpus = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("key").isNotNull())
     diagonal = F.col("at") - F.col("item_at")
     # one shuffle by document serves all that follows; a document's key is its own, so none is hot
-    near = _window_rows(spread(corpus, "key")).join(anchors, "window").select("key", "held", "at", "item_at").repartition(tasks(spark), "key")
+    near = _window_rows(spread(corpus, "key"))
+    if few:
+        # a place is shuffled once, whatever number of texts share its window
+        near = near.join(F.broadcast(anchors.select("window").distinct()), "window", "left_semi").repartition(tasks(spark), "key").join(F.broadcast(anchors), "window")
+    else:
+        near = near.join(anchors, "window").select("key", "held", "at", "item_at").repartition(tasks(spark), "key")
     hits = near.groupBy("key", "held", F.floor(diagonal / LANE).alias("lane"), F.floor(F.col("at") / STRETCH).alias("stretch")).agg(
         F.min("at").alias("first"), F.max("at").alias("last"), F.min(diagonal).alias("diagonal"), F.bit_count(F.bit_or(F.expr(f"shiftleft(1L, at % {STRETCH})"))).alias("n")
     )

@@ -86,3 +86,21 @@ def test_frames(spark):
     got = [(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()]
     assert len(got) == len(want) and set(got) == want
     assert leakage.leaks(docs.where("false"), items).count() == 0 and leakage.leaks(docs, items.where("false")).count() == 0
+
+
+def test_passages_and_sentences_of_many_items(spark):
+    r = random.Random(5)
+    def text(n):
+        return " ".join("".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(n))
+
+    passage, stock = text(30), "If there are several answers, print any."
+    words = text(40).split()
+    asked = {k: f"{text(12)} {passage} {stock} {text(8)}" for k in range(20)}  # questions about one passage
+    alike = {100 + k: " ".join([*words[:20], f"slot{k}", *words[20:]]) for k in range(20)}  # texts that differ in one word
+    others = {200 + k: f"{text(15)} {stock} {text(15)}" for k in range(20)}
+    items = spark.createDataFrame(list((asked | alike | others).items()), "item_id bigint, text string")
+    docs = {1: f"{text(50)} {passage} {text(50)}", 2: f"{text(9)} {alike[103]} {text(9)}", 3: f"{text(30)} {stock} {text(30)}", 4: " ".join(passage.split()[:15]), 5: edited(passage, 2, 7)}
+    docs = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    for most in (0, 1_000_000):  # joined by shuffle, and broadcast
+        got = sorted((x["doc_id"], x["item_id"]) for x in leakage.leaks(docs, items, most_broadcast=most).collect())
+        assert got == [(1, k) for k in asked] + [(2, k) for k in alike] + [(5, k) for k in asked]
